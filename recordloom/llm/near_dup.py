@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import with_package
 from .common import LOWER, components, written
 
 #: Words of a numpy block at most; a longer text is a block of its own.
@@ -171,6 +172,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
     included; a row with a null doc_id gets the component of its set's other rows, or null, and kept true. An empty
     table gives an empty result.
     """
+    with_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(docs.mapInArrow(_sign(shingle, collections), "doc_id long, n long, s1 long, s2 long, sig array<long>"), "signed")
     nodes = signed.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x"))
