@@ -51,6 +51,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, listed, pii_spans
+
+    found = pii_spans(_table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda x: x == KINDS.index(k))).cast("long").alias(f"n_{k}") for k in KINDS]  # noqa: B023
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -70,7 +79,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_source_mixture, op5_chat_format, op6_bpe, op8_quality_rules, op9_hilbert_shards, op10_lm_scores)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_source_mixture, op5_chat_format, op6_bpe, op7_pii, op8_quality_rules, op9_hilbert_shards, op10_lm_scores)
 }
 
 ORACLE_SQL: dict[str, str] = {}
