@@ -6,10 +6,11 @@ collections, so m collections give m(m-1)/2 tables. With the defaults, 12 collec
 (0.9: 1e-7). Such a pair is lost only if no chain of other links joins it.
 
 Work in a bucket is linear, not quadratic: equal sets are one node from the start; each round compares a node with a
-few hubs of its buckets, and buckets whose nodes are all in one component drop out. When hubs bring no more links,
-what is left are buckets of nodes that are alike but mostly below the threshold; there the pairs of different
-components are compared once, in the first table that holds them, if their sizes and 24 minhashes leave a link
-possible (fewer than 10 equal minhashes: below 4e-5 of the pairs at similarity 0.8).
+few hubs of its buckets, and buckets whose nodes are all in one component drop out. What is left are buckets of nodes that
+are alike but mostly below the threshold. There the pairs of different components are compared, if their sizes and 24
+minhashes leave a link possible (fewer than 10 equal minhashes: below 4e-5 of the pairs at similarity 0.8): in small
+buckets pair by pair; large buckets that share nodes form a family, whose members outside its main component are a
+query set held against the whole family, block by block, so that no pair but a link leaves a task.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BLOCK = 1 << 21
 #: Members that one task compares with a hub in a row.
 SALT_ROWS = 512
 LEAST_EQUAL = 10
+#: Nodes of a bucket that are compared pair by pair; those of larger ones meet in tiles of two blocks of this many nodes.
+SMALL, TILE = 16, 256
 #: 8-byte ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -158,13 +161,94 @@ def _first_table(a: str, b: str, collections: int):
     return out
 
 
+def _tile(k: int, num: int, den: int):
+    """Rows (tile, side, rep, root, n, sig, text), a tile's together: links that join components of side 0 with those
+    of side 1, or, where there is no side 1, of side 0 with one another."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(rows):
+        sides = [[r for r in rows if r[1] == 0], [r for r in rows if r[1] == 1]]
+        one, two = sides[0], sides[1] or sides[0]
+        sig = [np.array([r[5] for r in side], np.int64).reshape(len(side), -1).view(np.uint64) for side in (one, two)]
+        size = [np.array([r[4] for r in side]) for side in (one, two)]
+        sets: dict[int, np.ndarray] = {}
+        to: dict[int, int] = {}
+
+        def root(x):
+            while (up := to.get(x, x)) != x:
+                x = up
+            return x
+
+        def own(r):
+            if r[2] not in sets:
+                sets[r[2]] = shingle_set(r[6].as_py(), k)
+            return sets[r[2]]
+
+        out, low = [], np.uint64(0xFFFFFFFF)
+        for i, r in enumerate(one):
+            apart = sig[0][i] ^ sig[1]
+            equal = ((apart >> np.uint64(32)) == 0).sum(axis=1) + ((apart & low) == 0).sum(axis=1)
+            fit = (equal >= LEAST_EQUAL) & (den * np.minimum(size[0][i], size[1]) >= num * np.maximum(size[0][i], size[1]))
+            if not sides[1]:
+                fit[: i + 1] = False
+            for j in sorted(np.flatnonzero(fit), key=lambda j: -equal[j]):
+                s, t = root(r[3]), root(two[j][3])
+                if s != t:
+                    x, y = own(r), own(two[j])
+                    both = np.intersect1d(x, y, assume_unique=True).size
+                    if den * both >= num * (len(x) + len(y) - both):
+                        to[max(s, t)] = min(s, t)
+                        out.append((r[2], two[j][2]))
+        return pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], schema=schema)
+
+    def run(batches):
+        now, rows = None, []
+        for batch in batches:
+            for r in zip(*[batch.column(i).to_pylist() for i in range(6)], batch.column(6).cast(pa.binary()), strict=True):
+                if r[0] != now:
+                    if rows:
+                        yield links(rows)
+                    now, rows = r[0], []
+                rows.append(r)
+        if rows:
+            yield links(rows)
+
+    return run
+
+
+def family_links(live: DataFrame, facts: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links between components of the nodes in live (key, rep, root), whose buckets are large.
+
+    A family is what large buckets join. Its nodes are grouped by size (a link's sizes are in neighbouring groups) and
+    by whether they are in its main component, and groups are cut into blocks; two blocks make a tile, but for those
+    that are in the main component both.
+    """
+    stars = live.groupBy("key").agg(F.min("rep").alias("b"))
+    family = components(live.join(stars, "key").select(F.col("rep").alias("a"), "b"), "families")
+    family = family.select("node", F.col("root").alias("of"))
+    nodes = live.select("rep", "root").distinct().join(family, F.col("rep") == F.col("node"), "left").select("rep", "root", F.coalesce("of", "rep").alias("family"))
+    nodes = nodes.join(facts, "rep").withColumn("size", F.floor(F.log("n") / float(np.log(den / num))).cast("int"))
+    main = nodes.groupBy("family", "root").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
+    nodes = written(nodes.join(main, "family").withColumn("group", 2 * F.col("size") + (F.col("root") == F.col("main")).cast("int")).drop("main", "size"), "family")
+    groups = nodes.groupBy("family", "group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    other = groups.select("family", F.col("group").alias("with"), F.col("blocks").alias("blocks_b"))
+    near = (F.abs(F.floor(F.col("group") / 2) - F.floor(F.col("with") / 2)) <= 1) & ~((F.col("group") % 2 == 1) & (F.col("with") % 2 == 1))
+    meets = groups.join(other, "family").where(near)
+    rows = nodes.join(meets, ["family", "group"]).join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("block_b", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1)))
+    here, there = F.struct("group", "block"), F.struct(F.col("with").alias("group"), F.col("block_b").alias("block"))
+    rows = rows.withColumn("tile", F.xxhash64("family", F.least(here, there), F.greatest(here, there))).withColumn("side", (here > there).cast("int"))
+    rows = rows.repartition("tile").sortWithinPartitions("tile").select("tile", "side", "rep", "root", "n", "sig", "text")
+    return rows.mapInArrow(_tile(k, num, den), "a long, b long")
+
+
 def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs with one of ids; few enough ids are broadcast, so that other texts are not shuffled."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int = 100, collections: int = 12, rounds: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int = 100, collections: int = 12, rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text; other columns are ignored).
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. Null and empty texts, and those without words,
@@ -190,18 +274,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
         pairs = written(pairs, "pairs")
         found = written(confirmed(pairs, texts, shingle, num, den), "links")
         tested, links = (tested.union(pairs), links.union(found)) if turn else (pairs, found)
-        progress = not found.isEmpty()
-        if progress or not turn:
-            roots = components(links, "stars")
+        roots = components(links, "stars")
         live = live.select("key", "t", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", "t", "rep", F.coalesce("root", "rep").alias("root"))
         hubs = live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("root", F.xxhash64("rep", F.lit(turn)), "rep")).alias("hub")).where("low < high")
         live = written(live.join(hubs.select("key", F.col("hub.root").alias("hub_root"), F.col("hub.rep").alias("hub_rep")), "key"), "buckets")
         if live.isEmpty():
             break
         possible = (den * F.least("n", "n_b") >= num * F.greatest("n", "n_b")) & (_equal("sig", "sig_b", collections) >= LEAST_EQUAL)
-        last = turn == rounds - 1 or (turn > 0 and not progress)
+        last = turn == rounds - 1
         if last:
-            side = live.join(facts, "rep").select("key", "t", "rep", "root", "n", "sig")
+            live = live.select("key", "t", "rep", "root")
+            counted = live.join(live.groupBy("key").agg(F.count("*").alias("c")), "key")
+            side = counted.where(F.col("c") <= SMALL).join(facts, "rep").select("key", "t", "rep", "root", "n", "sig")
             other = side.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "root", "n", "sig")])
             pairs = side.join(other, "key").where((F.col("root") > F.col("root_b")) & possible & (F.col("t") == _first_table("sig", "sig_b", collections)))
             pairs = pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b"))
@@ -212,6 +296,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
         pairs = pairs.join(tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
         if last:
             found = confirmed(written(pairs, "pairs"), texts, shingle, num, den)
+            large = written(counted.where(F.col("c") > SMALL).select("key", "rep", "root"), "buckets")
+            if not large.isEmpty():
+                found = found.union(family_links(large, facts, texts, shingle, num, den))
             roots = components(links.union(found), "stars")
             break
         # of the hubs that share a bucket with a node, the one that is most alike
