@@ -16,6 +16,10 @@ _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 LOWER = bytes(b + 32 if b in _UPPER else b for b in range(256))
 
 
+#: Rows of short keys that are broadcast at most.
+BROADCAST_KEYS = 300_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
@@ -37,6 +41,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def matching(docs: DataFrame, keys: DataFrame, on: list[str], how: str, most: int = BROADCAST_KEYS) -> DataFrame:
+    """docs joined with distinct keys as a left_semi or left_anti join, nulls being equal; docs keeps its columns.
+
+    Keys are broadcast if there are no more than most, so that the texts are not shuffled; else both sides are."""
+    keys = keys.select(*[F.col(c).alias(f"__{c}") for c in on])
+    few = keys.limit(most + 1).count() <= most
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on]
+    return docs.join(F.broadcast(keys) if few else keys, [*same], how)
+
+
 def lower(name: str):
     """Lower-cases A-Z only."""
     return F.translate(F.col(name), _UPPER.decode(), _UPPER.decode().lower())

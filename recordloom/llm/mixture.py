@@ -118,7 +118,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     keyed = docs.withColumn("__h", F.xxhash64("text"))
     keyed = keyed.dropDuplicates(["doc_id", "__h"])
     out = keyed.join(pieces, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("__h") == F.col("own"))).withColumn("__n", F.explode(F.sequence(F.lit(1), "times")))
-    cut = F.regexp_extract("text", F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("words").cast("string"), F.lit("}+")), 0)
+    cut = F.regexp_substr("text", F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("words").cast("string"), F.lit("}+")))
     text = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(cut)
     size = {"n_chars": F.when(F.col("words") == F.col("size"), F.col("n_chars")).otherwise(F.length(text))} if "n_chars" in docs.columns else {}
     return out.select(*[text.alias(c) if c == "text" else size[c].alias(c) if c in size else F.col(c) for c in docs.columns])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import with_package
-from .common import LOWER, components, written
+from .common import LOWER, components, matching, written
 
 #: Words of a numpy block at most; a longer text is a block of its own.
 BLOCK = 1 << 21
@@ -308,3 +308,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
     out = signed.select("doc_id", "n", "s1", "s2").join(members, ["s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def kept_one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, one where a kept row is repeated; rows without doc_id all stay."""
+    found = near_duplicates(docs, **how).where("doc_id is not null")
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = matching(docs, gone, ["doc_id"], "left_anti")
+    return matching(kept, again, ["doc_id"], "left_anti").unionByName(matching(kept, again, ["doc_id"], "left_semi").dropDuplicates(["doc_id"]))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import with_package
-from .common import LOWER, written
+from .common import LOWER, matching, written
 
 #: Line keys that are broadcast at most; more are joined by a shuffle.
 BROADCAST_LINES = 200_000
@@ -26,7 +26,7 @@ _NORMAL = LOWER.translate(bytes(48 if 48 <= b <= 57 else b for b in range(256)))
 _POLY = np.uint64(0x9E3779B97F4A7C15)
 
 _FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), *[(c, pa.int64()) for c in _FIGURES], ("lines", pa.list_(pa.struct([("line", pa.int64()), ("around", pa.int64()), ("words", pa.int64())])))])
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("h", pa.int64()), *[(c, pa.int64()) for c in _FIGURES], ("lines", pa.list_(pa.struct([("line", pa.int64()), ("around", pa.int64()), ("words", pa.int64())])))])
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -73,18 +73,18 @@ def _measure(batches):
         # a handful of rows at a time, so that the lines of long texts are not all held at once
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            own = [figures(t.as_py() or b"") for t in part.column(2).cast(pa.binary())]
-            yield pa.record_batch([part.column(0), part.column(1).cast(pa.string()), *[pa.array([x[0][i] for x in own], pa.int64()) for i in range(len(_FIGURES))], pa.array([x[1] for x in own], _SCHEMA.field("lines").type)], schema=_SCHEMA)
+            own = [figures(t.as_py() or b"") for t in part.column(3).cast(pa.binary())]
+            yield pa.record_batch([part.column(0), part.column(1).cast(pa.string()), part.column(2), *[pa.array([x[0][i] for x in own], pa.int64()) for i in range(len(_FIGURES))], pa.array([x[1] for x in own], _SCHEMA.field("lines").type)], schema=_SCHEMA)
 
 
-def _kept_by(rows: DataFrame, keys: DataFrame) -> DataFrame:
+def _of_lines(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """rows joined with keys on (host, line); few keys are broadcast."""
     few = keys.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     return rows.join(F.broadcast(keys) if few else keys, ["host", "line"])
 
 
 def quality(docs: DataFrame, least_docs: int = 10, most_share: float = 0.005, least_varied: float = 0.5, least_left: float = 0.3, least_words: int = 50) -> DataFrame:
-    """For every row of docs (doc_id, source, text): its figures, base_failed, removed_words, and kept.
+    """For every row of docs (doc_id, source, text): its figures, base_failed, kept, removed_words, source and h, the text's hash.
 
     A line of a host (source) is removed if more documents have it than least_docs and than most_share of the host's
     documents, and if at least least_varied of them have it between other lines. A document is rejected by the base
@@ -92,23 +92,26 @@ def quality(docs: DataFrame, least_docs: int = 10, most_share: float = 0.005, le
     is a host of its own; repeated rows stand for themselves; an empty table gives an empty result.
     """
     with_package(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, source string, " + ", ".join(f"{c} long" for c in _FIGURES) + ", lines array<struct<line: long, around: long, words: long>>"
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    schema = "doc_id long, source string, h long, " + ", ".join(f"{c} long" for c in _FIGURES) + ", lines array<struct<line: long, around: long, words: long>>"
     base = docs.mapInArrow(_measure, schema).withColumn("host", F.xxhash64("source")).withColumn("row", F.monotonically_increasing_id())
     base = written(base, "figures")
     lines = base.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.*")
     hosts = base.groupBy("host").agg((F.count("*") * most_share).alias("most"))
     often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
     often = written(often.join(hosts, "host").where("n > most").select("host", "line", "n"), "lines")
-    places = _kept_by(lines, often).groupBy("host", "line", "around", "n").count().groupBy("host", "line", "n").agg(F.count("*").alias("varied"))
+    places = _of_lines(lines, often).groupBy("host", "line", "around", "n").count().groupBy("host", "line", "n").agg(F.count("*").alias("varied"))
     removed = written(places.where(F.col("varied") >= least_varied * F.col("n")).select("host", "line"), "lines")
-    lost = _kept_by(lines, removed).groupBy("row").agg(F.sum("words").alias("removed_words"))
+    lost = _of_lines(lines, removed).groupBy("row").agg(F.sum("words").alias("removed_words"))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words") >= least_left * F.col("n_words")
     out = base.drop("lines", "host").join(lost, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
-    return out.select("doc_id", *_FIGURES, failed.alias("base_failed"), (~failed & left).alias("kept"), "removed_words", "row")
+    return out.select("doc_id", *_FIGURES, failed.alias("base_failed"), (~failed & left).alias("kept"), "removed_words", "source", "h")
 
 
 def kept_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that quality() keeps, by (doc_id, hash of the text)."""
-    raise NotImplementedError
+    """The rows of docs that quality() keeps; equal rows stay or go together."""
+    judged = quality(docs, **how)
+    gone = judged.where(~F.col("kept")).select("doc_id", "source", F.col("h").alias("__text")).distinct()
+    keyed = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
+    return matching(keyed, gone, ["doc_id", "source", "__text"], "left_anti").select(*docs.columns)

@@ -30,6 +30,12 @@ def op3_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import formatted, read_back, segments
 
@@ -63,7 +69,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
-    return quality(_table(spark, sf_dir, "documents")).drop("row", "h")
+    return quality(_table(spark, sf_dir, "documents")).drop("source", "h")
 
 
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +85,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_source_mixture, op5_chat_format, op6_bpe, op7_pii, op8_quality_rules, op9_hilbert_shards, op10_lm_scores)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_source_mixture, op4_nearest_neighbours, op5_chat_format, op6_bpe, op7_pii, op8_quality_rules, op9_hilbert_shards, op10_lm_scores)
 }
 
 ORACLE_SQL: dict[str, str] = {}
