@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,6 +31,11 @@ def indel_ratio(a: str, b: str) -> float:
     return 2 * lcs_length(a, b) / n if n else 1.0
 
 
+@lru_cache(maxsize=1 << 17)
+def _token_ratio(a: str, b: str) -> float:
+    return indel_ratio(a, b)
+
+
 def soft_matches(query: list[str], heard: list[str], least: float = 0.72) -> list[float]:
     """For every query token 1 if it was heard, else the best similarity to a heard token of about its length, from least on."""
     known = set(heard)
@@ -39,7 +44,9 @@ def soft_matches(query: list[str], heard: list[str], least: float = 0.72) -> lis
         best = 1.0 if token in known else 0.0
         if not best and len(token) >= 4:
             room = max(2, len(token) // 3)
-            best = max((indel_ratio(token, t) for t in known if abs(len(t) - len(token)) <= room), default=0.0)
+            n = len(token)
+            near = (t for t in known if abs(len(t) - n) <= room and 2 * min(n, len(t)) >= least * (n + len(t)))
+            best = max((_token_ratio(token, t) for t in near), default=0.0)
             best = best if best >= least else 0.0
         out.append(best)
     return out

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_asr, tokens
-from ..session import with_package
+from ..session import with_package, written
 from . import retrieval as R
 
 # Kinds, thresholds, and the words of an entry.
@@ -219,10 +219,10 @@ def align(blocks: DataFrame, segments: DataFrame, overrides: DataFrame | None =
             durations = segments.groupBy("session").agg(F.max("end").alias("duration"))
         reviewed = checked_overrides(overrides, blocks, durations)
         bounds, fixed = anchor_bounds(reviewed, blocks, segments), manual_entries(reviewed)
-    windows = suppressed(candidates(blocks, segments, bounds))
+    windows = written(suppressed(candidates(blocks, segments, bounds)), "windows")  # read twice: by the path and its margins
     chosen = uniqueness_margin(monotone_path(windows), windows)
     entries = direct_entries(chosen, blocks, segments)
-    entries = entries if fixed is None else fixed.unionByName(entries)
+    entries = written(entries if fixed is None else fixed.unionByName(entries), "entries")  # read twice: as anchors and as rows
     entries = entries.unionByName(contextual_ranges(blocks, entries))
     return monotone_filter(entries, ["session"], ["pos"])
 

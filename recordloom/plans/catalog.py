@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from . import alignment, discovery, reading, speech, streaming, structure
 
-ORACLE_SQL: dict[str, str] = {}
+_PLANS = (speech, structure, alignment, reading, discovery, streaming)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+
+ORACLE_SQL: dict[str, str] = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}
