@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from functools import cache, lru_cache
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,25 +31,26 @@ def indel_ratio(a: str, b: str) -> float:
     return 2 * lcs_length(a, b) / n if n else 1.0
 
 
-@lru_cache(maxsize=1 << 17)
-def _token_ratio(a: str, b: str) -> float:
-    return indel_ratio(a, b)
+#: For a token: the tokens it has been compared with, and those of them that are alike. Windows of a turn share most.
+_compared: dict[tuple[str, float], tuple[set[str], dict[str, float]]] = {}
+
+
+def _alike(token: str, heard: set[str], least: float) -> float:
+    if len(_compared) > 20_000:
+        _compared.clear()
+    seen, good = _compared.setdefault((token, least), (set(), {}))
+    n, room = len(token), max(2, len(token) // 3)
+    for t in heard - seen:
+        if abs(len(t) - n) <= room and 2 * min(n, len(t)) >= least * (n + len(t)) and (ratio := indel_ratio(token, t)) >= least:
+            good[t] = ratio
+    seen |= heard
+    return max((good[t] for t in good.keys() & heard), default=0.0)
 
 
 def soft_matches(query: list[str], heard: list[str], least: float = 0.72) -> list[float]:
     """For every query token 1 if it was heard, else the best similarity to a heard token of about its length, from least on."""
     known = set(heard)
-    out = []
-    for token in query:
-        best = 1.0 if token in known else 0.0
-        if not best and len(token) >= 4:
-            room = max(2, len(token) // 3)
-            n = len(token)
-            near = (t for t in known if abs(len(t) - n) <= room and 2 * min(n, len(t)) >= least * (n + len(t)))
-            best = max((_token_ratio(token, t) for t in near), default=0.0)
-            best = best if best >= least else 0.0
-        out.append(best)
-    return out
+    return [1.0 if t in known else _alike(t, known, least) if len(t) >= 4 else 0.0 for t in query]
 
 
 @cache
