@@ -10,6 +10,8 @@ the rarest pairs are what a larger corpus loses; the counts themselves are taken
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,10 +21,10 @@ from pyspark.sql import functions as F
 from ..session import with_package
 from .common import LOWER, written
 
-MAX_BYTES = 96 << 20
+MAX_BYTES = 48 << 20
 BITS_PER_STEP, PROBES = 10, 4
 #: Tokens of a numpy block at most; a longer text is a block of its own.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: Text bytes behind a segment of the hash space, and the most segments.
 SEGMENT_BYTES, MAX_SEGMENTS = 8 << 20, 1 << 16
 #: Words whose exact counts every worker has; those of the others come by a join.
@@ -167,15 +169,16 @@ def _merge(most_bytes: int):
 class Filter:
     """The whole filter, as workers probe it. Segments are by the mixed hash, as counts are gathered."""
 
-    def __init__(self, log_segments: int, parts: list[tuple[int, int, int, bytes]]):
+    def __init__(self, log_segments: int, parts: Iterable[tuple[int, int, int, bytes]], most_bytes: int):
+        """parts, of most_bytes together at most, are taken one after the other."""
         n = 1 << log_segments
         self.shift, self.at, self.bits, self.first = log_segments, np.zeros(n, np.int64), np.zeros(n, _U), np.zeros(n, np.int64)
-        size = sum(len(x[3]) for x in parts)
-        self.data, at = np.zeros(size, np.uint8), 0
+        data, at = np.zeros(most_bytes, np.uint8), 0
         for segment, first, bits, flags in parts:
             self.at[segment], self.bits[segment], self.first[segment] = at * 8, bits, first
-            self.data[at : at + len(flags)] = np.frombuffer(flags, np.uint8)
+            data[at : at + len(flags)] = np.frombuffer(flags, np.uint8)
             at += len(flags)
+        self.data = data[:at].copy()
 
     def counts(self, grams: np.ndarray, words: bool) -> np.ndarray:
         """Quantised counts of distinct n-grams."""
@@ -260,7 +263,7 @@ def lm_scores(docs: DataFrame, max_bytes: int = MAX_BYTES, pull: float = 100.0)
     top = vocabulary.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
     order = np.argsort(top["h"].to_numpy(np.int64).view(_U))
     total = n_tokens + 0.1 * (n_types + 1)
-    flt = Filter(log, [tuple(r) for r in merged.select("segment", "first", "bits", "filter").collect()])  # max_bytes at most
+    flt = Filter(log, merged.select("segment", "first", "bits", "filter").toLocalIterator(), max_bytes)
     shared = spark.sparkContext.broadcast({"filter": flt, "top": top["h"].to_numpy(np.int64).view(_U)[order], "top_counts": top["c"].to_numpy(np.int64)[order], "n_docs": float(n_docs), "total": total})
     scored = docs.mapInArrow(_score(shared, pull), "doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rest array<struct<h: long, n: long>>")
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scores")
