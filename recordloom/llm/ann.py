@@ -21,6 +21,8 @@ from .common import written
 
 #: Vectors that the trees are grown on at most, and classes or queries that a task scores at a time.
 SAMPLE, BLOCK = 1 << 15, 1024
+#: Queries whose answers a task holds.
+HELD = 20_000
 
 
 @dataclass
@@ -131,38 +133,46 @@ def _open(shared):
 
 
 def _best(k: int):
-    """Rows (tile, is_query, class, v, ids), a tile's members before its queries: the k best members for each query."""
-    schema = pa.schema([("class", pa.int64()), ("found", pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())])))])
+    """Rows (tile, is_query, class, v, ids), a tile's members before its queries: the k best members for each query.
 
-    def answers(members, queries):
+    A query's answers from several tiles of a task are merged; those of HELD queries are held at a time."""
+    schema = pa.schema([("class", pa.int64()), ("found", pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())])))])
+
+    def answers(members, queries, held):
         x = np.array([m[3] for m in members], np.float64)
         asked = np.array([q[3] for q in queries], np.float64)
-        found = []
-        for q, near in zip(asked, asked @ x.T, strict=True):
+        for row, q, near in zip(queries, asked, asked @ x.T, strict=True):
             pick = np.arange(len(near))
             if len(near) > k:
                 cut = np.partition(near, len(near) - k)[len(near) - k]
                 pick = np.flatnonzero(near >= cut - 1e-9 * abs(cut) - 1e-300)
             # the same sum whatever else is in the block, so that a member scores alike in every tree
-            exact = (x[pick] * q).sum(axis=1)
-            rows = sorted((-float(s), d) for i, s in zip(pick, exact, strict=True) for d in members[i][4])[:k]
-            found.append([{"score": -s, "id": d} for s, d in rows])
-        classes = [q[2] for q in queries]
-        return pa.record_batch([pa.array(classes, pa.int64()), pa.array(found, schema.field("found").type)], schema=schema)
+            exact = (x[pick] * q).sum(axis=1).tolist()
+            rows = held.get(row[2], set())
+            held[row[2]] = set(sorted(rows.union((-s, d) for i, s in zip(pick.tolist(), exact, strict=True) for d in members[i][4]))[:k])
+
+    def out(held):
+        found = [[{"s": s, "id": d} for s, d in rows] for rows in held.values()]
+        return pa.record_batch([pa.array(list(held), pa.int64()), pa.array(found, schema.field("found").type)], schema=schema)
 
     def run(batches):
-        now, members, queries = None, [], []
+        now, members, queries, held = None, [], [], {}
         for batch in batches:
             for r in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
                 if r[0] != now or (r[1] and len(queries) >= BLOCK):
                     if members and queries:
-                        yield answers(members, queries)
+                        answers(members, queries, held)
                     queries = []
                     if r[0] != now:
                         now, members = r[0], []
+                    if len(held) > HELD:
+                        yield out(held)
+                        held = {}
                 (queries if r[1] else members).append(r)
         if members and queries:
-            yield answers(members, queries)
+            answers(members, queries, held)
+        if held:
+            yield out(held)
 
     return run
 
@@ -213,8 +223,10 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 8, le
     asked = asked.select("tree", "leaf", "block", F.lit(True).alias("query"), "class", "v", F.lit(None).cast("array<long>").alias("ids"))
     tiles = members.union(asked).withColumn("tile", F.xxhash64("tree", "leaf", "block"))
     tiles = tiles.repartition("tile").sortWithinPartitions("tile", "query").select("tile", "query", "class", "v", "ids")
-    found = tiles.mapInArrow(_best(k + 1), "class long, found array<struct<score: double, id: long>>")
-    merged = found.groupBy("class").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
-    merged = merged.select("class", F.slice(F.array_sort(F.transform("found", lambda f: F.struct((-f["score"]).alias("s"), f["id"].alias("id")))), 1, k + 1).alias("found"))
+    found = tiles.mapInArrow(_best(k + 1), "class long, found array<struct<s: double, id: long>>")
+    # s is the negative score; a neighbour that several trees found comes with equal scores, so its copies are adjacent
+    merged = found.groupBy("class").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("every"))
+    first = F.filter("every", lambda f, i: (i == 0) | (f != F.get("every", i - 1)))
+    merged = merged.select("class", F.slice(first, 1, k + 1).alias("found"))
     out = queries.join(merged, "class").select(F.col("vec_id").alias("query_id"), F.posexplode(F.slice(F.filter("found", lambda f: f["id"] != F.col("vec_id")), 1, k)).alias("rank", "x"))
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))
