@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -79,9 +80,11 @@ def contextual_ranges(spark, sf_dir):
 
 
 def anchor_bounds(spark, sf_dir):
-    seg = segments(spark, sf_dir).withColumn("session", F.col("user_id").cast("string"))
-    blocks = seg.select("session", F.col("event_id").alias("pos"))
-    return A.anchor_bounds(seg.where("event_type = 'purchase'").select("session", F.col("event_id").alias("pos"), "start", "end"), blocks, seg.where("event_type = 'click'")).select("session", F.col("interval").cast("long").alias("interval"), "first_pos", "past_pos", "low", "high")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    seg = segments(spark, sf_dir).withColumn("session", F.col("user_id").cast("string")).withColumn("pos", place)
+    anchors = seg.where("event_type = 'purchase'").select("session", "pos", "start", "end")
+    bounds = A.anchor_bounds(anchors, seg.select("session", "pos"), seg.where("event_type = 'click'"))
+    return bounds.select("session", F.col("interval").cast("long").alias("interval"), F.col("first_pos").cast("long").alias("first_pos"), F.col("past_pos").cast("long").alias("past_pos"), "low", "high")
 
 
 def override_check(spark, sf_dir):
@@ -130,8 +133,8 @@ ORACLE_SQL = {
     "contextual_ranges": f"""WITH {SEG_SQL}, k AS (SELECT *, {_KIND} AS kind FROM seg), w AS (SELECT *, last_value(CASE WHEN event_type = 'purchase' THEN "end" END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s, first_value(CASE WHEN event_type = 'purchase' THEN "start" END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS e FROM k),
       p AS (SELECT *, CASE WHEN kind IN ('speaker_utterance', 'prepared_statement') AND e - s <= {2 * DAY} THEN 'contextual_dialogue_range' WHEN kind IN ('narrative_summary', 'procedural_event', 'session_clock_anchor') AND e - s <= {4 * DAY} THEN 'narrative_summary_range' WHEN kind = 'heading' AND e - s <= {4 * DAY} THEN 'section_range' END AS precision FROM w)
       SELECT CAST(user_id AS VARCHAR) AS session, event_id AS pos, round(s, 3) AS "start", round(e, 3) AS "end", precision, round(greatest(0.08, 0.46 - (e - s) / 500), 3) AS confidence FROM p WHERE event_type <> 'purchase' AND precision IS NOT NULL AND e >= s""",
-    "anchor_bounds": f"""WITH {SEG_SQL}, sizes AS (SELECT user_id, count(*) AS blocks, count(*) FILTER (WHERE event_type = 'click') AS segs FROM seg GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'click') > 0),
-      a AS (SELECT x.user_id, x.event_id AS pos, (SELECT count(*) FROM seg c WHERE c.user_id = x.user_id AND c.event_type = 'click' AND c."start" <= x."start") - 1 AS high, (SELECT count(*) FROM seg c WHERE c.user_id = x.user_id AND c.event_type = 'click' AND c."start" < x."end") AS after FROM seg x WHERE x.event_type = 'purchase' AND x.user_id IN (SELECT user_id FROM sizes)),
+    "anchor_bounds": f"""WITH {SEG_SQL.replace("seg AS", "seg0 AS")}, seg AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM seg0), sizes AS (SELECT user_id, count(*) AS blocks, count(*) FILTER (WHERE event_type = 'click') AS segs FROM seg GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'click') > 0),
+      a AS (SELECT x.user_id, x.pos, (SELECT count(*) FROM seg c WHERE c.user_id = x.user_id AND c.event_type = 'click' AND c."start" <= x."start") - 1 AS high, (SELECT count(*) FROM seg c WHERE c.user_id = x.user_id AND c.event_type = 'click' AND c."start" < x."end") AS after FROM seg x WHERE x.event_type = 'purchase' AND x.user_id IN (SELECT user_id FROM sizes)),
       e AS (SELECT user_id, pos, high, after FROM a UNION ALL SELECT user_id, blocks, segs - 1, NULL FROM sizes)
       SELECT CAST(e.user_id AS VARCHAR) AS session, row_number() OVER w AS interval, coalesce(lag(pos) OVER w + 1, 0) AS first_pos, pos AS past_pos, least(coalesce(lag(after) OVER w, 0), segs) AS low, high FROM e JOIN sizes s ON e.user_id = s.user_id WINDOW w AS (PARTITION BY e.user_id ORDER BY pos)""",
     "override_check": f"""WITH {SEG_SQL}, d AS (SELECT user_id, max("end") - {DAY} AS duration FROM seg GROUP BY user_id), f AS (SELECT s.user_id, CASE WHEN event_id % 10 = 0 THEN 'unknown_block' WHEN event_id % 7 = 0 THEN 'time_domain' WHEN "start" < 0 OR "start" > CASE WHEN event_id % 11 = 0 THEN "start" - 1 ELSE "end" END OR CASE WHEN event_id % 11 = 0 THEN "start" - 1 ELSE "end" END > duration THEN 'range' END AS fault FROM seg s JOIN d ON s.user_id = d.user_id)
