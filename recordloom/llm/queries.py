@@ -88,4 +88,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_source_mixture, op4_nearest_neighbours, op5_chat_format, op6_bpe, op7_pii, op8_quality_rules, op9_hilbert_shards, op10_lm_scores)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_ESCAPES = r"len(regexp_extract_all({}, '<\\*\|'))"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(f"coalesce({_LOWER}, '')")} AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws ELSE list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) END AS s FROM w),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM each a JOIN each b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared WHERE 100 * c >= 80 * (na + nb - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, c.component_id = s.doc_id AS kept FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = s.doc_id""",
+    "op5_chat_format": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+  sum(12 + length(role) + 1 + length(text) + {_ESCAPES.format("text")} + 11) AS chars, string_agg(role || ';', '' ORDER BY turn, role, text) AS roles FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, regexp_full_match(roles, '(system;)?(user;assistant;)+') AS valid FROM g""",
+    "op8_quality_rules": rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents), w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM d),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2), tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS c FROM p),
+rep AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS x FROM tri WHERE c > 1) GROUP BY doc_id),
+raw AS (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM d), ls0 AS (SELECT doc_id, source, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM raw),
+ls AS (SELECT doc_id, source, line, i, {_WORDS.format("regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g')")} AS ws FROM ls0),
+lines AS (SELECT doc_id, source, line, i, array_to_string(ws, ' ') AS norm, len(ws) AS n FROM ls WHERE len(ws) > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
+near AS (SELECT *, coalesce(lag(norm) OVER (PARTITION BY doc_id ORDER BY i), '') AS before, coalesce(lead(norm) OVER (PARTITION BY doc_id ORDER BY i), '') AS after FROM lines),
+own AS (SELECT doc_id, source, norm, sum(n) AS n, arg_min(before, i) AS before, arg_min(after, i) AS after FROM near GROUP BY 1, 2, 3),
+hosts AS (SELECT source, count(*) * 0.005 AS most FROM d GROUP BY 1),
+often AS (SELECT o.source, norm, count(*) AS docs, count(DISTINCT struct_pack(b := before, a := after)) AS varied FROM own o GROUP BY 1, 2),
+gone AS (SELECT f.source, norm FROM often f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE docs > 10 AND docs > most AND varied >= 0.5 * docs),
+lost AS (SELECT doc_id, sum(n) AS n FROM own o JOIN gone g ON o.source IS NOT DISTINCT FROM g.source AND o.norm = g.norm GROUP BY doc_id),
+f AS (SELECT d.doc_id, len(w.ws) AS n_words, length(d.text) - length(regexp_replace(d.text, '[^\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS removed_words
+  FROM d JOIN w ON d.doc_id = w.doc_id LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN dup ON d.doc_id = dup.doc_id LEFT JOIN lost ON d.doc_id = lost.doc_id),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND n_words - removed_words >= 0.3 * n_words AS kept FROM v""",
+}
