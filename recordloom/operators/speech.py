@@ -125,3 +125,20 @@ def merge_renumber(segments: DataFrame, keys: list[str], ties: list[str]) -> Dat
 def chunk_rollup(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """One row a session of its chunks' runtime figures."""
     return chunks.groupBy(*keys).agg(F.count("*").alias("chunk_count"), F.round(F.sum("elapsed_seconds"), 3).alias("elapsed_seconds"), F.max("peak_rss_bytes").alias("peak_rss_bytes"), F.array_sort(F.collect_set("engine_version")).alias("engine_versions"), F.sum("primary_window_count").alias("primary_window_count"), F.sum("retried_window_count").alias("retried_window_count"), F.sum("quarantined_window_count").alias("quarantined_window_count"))
+
+
+def checked_chunks(chunks: DataFrame, plans: DataFrame, key: str = "number") -> DataFrame:
+    """chunks, failing unless each of plans has one, and no other has."""
+    sides = chunks.select(key, F.lit(1).alias("__have"), F.lit(0).alias("__want")).unionByName(plans.select(key, F.lit(0).alias("__have"), F.lit(1).alias("__want")))
+    odd = sides.groupBy(key).agg(F.sum("__have").alias("a"), F.sum("__want").alias("b")).agg(F.count_if((F.col("a") != 1) | (F.col("b") != 1)).alias("__odd"))
+    fine = F.when(F.col("__odd") > 0, F.raise_error(F.lit("the chunks are not those of the plan")).cast("boolean")).otherwise(True)
+    return chunks.join(F.broadcast(odd)).where(fine).drop("__odd")  # one row
+
+
+def merge_faults(segments: DataFrame, sessions: DataFrame, keys: list[str], grace: float = 30.0) -> DataFrame:
+    """(keys, fault) of merged sessions that have no segments, begin before their origin, or end grace after their duration.
+
+    sessions has keys, origin and duration."""
+    spans = segments.groupBy(*keys).agg(F.min("start").alias("__first"), F.max("end").alias("__last"))
+    fault = F.when(F.col("__first").isNull(), "no_segments").when(F.col("__first") < F.col("origin"), "before_origin").when(F.col("__last") > F.col("origin") + F.col("duration") + grace, "after_end")
+    return sessions.join(spans, keys, "left").withColumn("fault", fault).where("fault is not null").select(*keys, "fault")

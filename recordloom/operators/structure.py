@@ -30,7 +30,7 @@ def _earlier(window):
 
 
 def split_artifacts(blocks: DataFrame) -> DataFrame:
-    """(doc_id, page, seq, part, raw_text, source_text, role) of raw blocks (doc_id, page, seq, text) that are not blank.
+    """(doc_id, page, seq, part, raw_text, source_text, bbox, role) of raw blocks (doc_id, page, seq, text, perhaps bbox) that are not blank.
 
     A block of several lines that are all page headers or numbers is a fragment for each; any other is one, its lines
     joined."""
@@ -38,7 +38,8 @@ def split_artifacts(blocks: DataFrame) -> DataFrame:
     rows = blocks.withColumn("lines", lines).where(F.size("lines") > 0)
     artifact = (F.size("lines") > 1) & F.forall("lines", lambda s: T.role(s).isNotNull())
     parts = F.when(artifact, F.transform("lines", lambda s: F.struct(s.alias("raw"), s.alias("source")))).otherwise(F.array(F.struct(F.array_join("lines", " ").alias("raw"), F.regexp_replace("text", r"\n+$", "").alias("source"))))
-    rows = rows.select("doc_id", "page", "seq", F.posexplode(parts).alias("part", "x")).select("doc_id", "page", "seq", "part", F.col("x.raw").alias("raw_text"), F.col("x.source").alias("source_text"))
+    box = F.col("bbox") if "bbox" in blocks.columns else F.lit(None).cast("array<double>")
+    rows = rows.select("doc_id", "page", "seq", box.alias("bbox"), F.posexplode(parts).alias("part", "x")).select("doc_id", "page", "seq", "part", F.col("x.raw").alias("raw_text"), F.col("x.source").alias("source_text"), "bbox")
     return rows.withColumn("role", T.role(F.col("raw_text")))
 
 
@@ -74,31 +75,29 @@ def _merges(one: dict, two: dict) -> bool:
 def _fold(batch: pa.Table) -> pa.Table:
     out: list[dict] = []
     for row in sorted(batch.to_pylist(), key=lambda r: (r["seq"], r["part"])):
-        row["merged"] = 1
+        row |= {"merged": 1, "indexes": [row["seq"]]}
         if out and _merges(out[-1], row):
             last = out[-1]
             last["raw_text"] = f"{last['raw_text']} {row['raw_text']}".strip()
             last["source_text"] += "\n" + row["source_text"]
             last["merged"] += 1
+            last["indexes"] += row["indexes"]
+            if last["bbox"] and row["bbox"]:
+                last["bbox"] = [pick(x, y) for pick, x, y in zip((min, min, max, max), last["bbox"], row["bbox"], strict=True)]
         else:
             out.append(row)
-    return pa.Table.from_pylist(out, schema=batch.schema.append(pa.field("merged", pa.int64())))
+    return pa.Table.from_pylist(out, schema=batch.schema.append(pa.field("merged", pa.int64())).append(pa.field("indexes", pa.list_(pa.int64()))))
 
 
 def merge_fragments(fragments: DataFrame) -> DataFrame:
-    """fragments of split_artifacts, those that continue the one before on their page merged into it; merged counts them."""
+    """fragments of split_artifacts, those that continue the one before on their page merged into it: merged counts them,
+    indexes are their blocks' seq, and bbox is around all of them."""
     with_package(fragments.sparkSession)
-    schema = "doc_id long, page long, seq long, part int, raw_text string, source_text string, role string, merged long"
-    rows = fragments.select("doc_id", "page", "seq", "part", "raw_text", "source_text", "role")
+    schema = "doc_id long, page long, seq long, part int, raw_text string, source_text string, bbox array<double>, role string, merged long, indexes array<long>"
+    rows = fragments.select("doc_id", "page", "seq", "part", "raw_text", "source_text", "bbox", "role")
     return rows.groupBy("doc_id", "page").applyInArrow(_fold, schema)
 
 
-def union_box(boxes: str) -> Column:
-    """The box around an array of boxes [left, top, right, bottom]."""
-    side = lambda i: F.transform(boxes, lambda b: b[i])
-    return F.array(F.array_min(side(0)), F.array_min(side(1)), F.array_max(side(2)), F.array_max(side(3)))
-
-
 def block_ids(rows: DataFrame, number: Column) -> DataFrame:
     """rows with sequence in the document and id: journal number, page, and place on the page."""
     on_page = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("seq"))

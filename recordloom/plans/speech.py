@@ -112,9 +112,16 @@ def chunk_rollup(spark, sf_dir):
     return speech.chunk_rollup(chunks, ["user_id"]).withColumn("engine_versions", F.array_join("engine_versions", ","))
 
 
-QUERIES = {f.__name__: f for f in (consecutive_runs, drop_repetition, transcript_quality, window_findings, quarantine, retry_rollup, plan_windows, owned_segments, window_inputs, monotonic_check, merge_renumber, chunk_rollup)}
+def merge_faults(spark, sf_dir):
+    seg = segments(spark, sf_dir)
+    users = seg.select("user_id").distinct().withColumn("origin", F.when(F.col("user_id") % 3 == 0, 2 * DAY).otherwise(0.0)).withColumn("duration", F.lit(29 * DAY))
+    return speech.merge_faults(seg.where("user_id % 7 > 0"), users, ["user_id"])
+
+
+QUERIES = {f.__name__: f for f in (consecutive_runs, drop_repetition, transcript_quality, window_findings, quarantine, retry_rollup, plan_windows, owned_segments, window_inputs, monotonic_check, merge_renumber, chunk_rollup, merge_faults)}
 
 ORACLE_SQL = {
+    "merge_faults": f"""WITH {SEG_SQL}, u AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN {2 * DAY} ELSE 0 END AS o, min("start") AS f, max("end") AS l FROM seg GROUP BY user_id), v AS (SELECT user_id, CASE WHEN user_id % 7 = 0 THEN 'no_segments' WHEN f < o THEN 'before_origin' WHEN l > o + {29 * DAY} + 30 THEN 'after_end' END AS fault FROM u) SELECT * FROM v WHERE fault IS NOT NULL""",
     "consecutive_runs": f"WITH {RUNS_SQL} SELECT user_id, CAST(run AS BIGINT) AS run, normalized_text, n, round(duration, 3) AS duration FROM runs",
     "drop_repetition": f"WITH {RUNS_SQL} SELECT s.user_id, s.event_id, s.normalized_text FROM numbered s JOIN runs r ON s.user_id = r.user_id AND s.run = r.run WHERE NOT (r.n >= 3 AND r.duration >= 45 AND r.normalized_text NOT IN {_MARKERS})",
     "transcript_quality": f"WITH {WINDOWS_SQL} SELECT * FROM quality",

@@ -42,6 +42,21 @@ def test_loops_are_found(spark):
     assert findings(spark, [(0.0, 60.0, "blank_audio")])[1] == ["non_speech_dominated"]
 
 
+def test_chunks_are_those_of_the_plan(spark):
+    number = lambda *n: spark.createDataFrame([(i,) for i in n], "number long")
+    assert SP.checked_chunks(number(1, 2), number(1, 2)).count() == 2
+    for have in ((1,), (1, 1, 2), (1, 2, 3)):
+        with pytest.raises(Exception, match="not those of the plan"):
+            SP.checked_chunks(number(*have), number(1, 2)).collect()
+
+
+def test_merged_fragments_keep_their_blocks_and_the_box_around_them(spark):
+    rows = [(1, 1, 1, "The session was", [0.0, 10.0, 50.0, 20.0]), (1, 1, 2, "resumed.", [5.0, 20.0, 60.0, 30.0])]
+    parts = ST.split_artifacts(spark.createDataFrame(rows, "doc_id long, page long, seq long, text string, bbox array<double>"))
+    row = ST.merge_fragments(parts).first()
+    assert (row["indexes"], row["bbox"], row["source_text"]) == ([1, 2], [0.0, 10.0, 60.0, 30.0], "The session was\nresumed.")
+
+
 def test_quality_gate(spark):
     rows = spark.createDataFrame([(1, i, i * 2.0, i * 2.0 + 2, "again") for i in range(30)], SEG)
     with pytest.raises(Exception, match="quality gate"):
