@@ -15,8 +15,6 @@ query set held against the whole family, block by block, so that no pair but a l
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,7 +25,7 @@ from ..session import with_package
 from .common import LOWER, components, matching, written
 
 #: Words of a numpy block at most; a longer text is a block of its own.
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 #: Members that one task compares with a hub in a row.
 SALT_ROWS = 512
 LEAST_EQUAL = 10
@@ -144,21 +142,23 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
 
 
 def _tables(collections: int):
-    return F.array(*[F.xxhash64(F.lit(t), F.col("sig")[i], F.col("sig")[j]) for t, (i, j) in enumerate(combinations(range(collections), 2))])
+    """The keys of all tables, in order of their pairs of collections."""
+    last = collections - 1
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(last - 1)), lambda i: F.transform(F.sequence(i + 1, F.lit(last)), lambda j: F.xxhash64(i, j, F.get("sig", i), F.get("sig", j))))
+    return F.flatten(pairs)
 
 
-def _equal(a: str, b: str, collections: int):
+def _equal(a: str, b: str):
     """How many of the single minhashes are equal."""
-    halves = [(F.shiftrightunsigned(F.col(a)[i].bitwiseXOR(F.col(b)[i]), 32) == 0, F.col(a)[i].bitwiseXOR(F.col(b)[i]).bitwiseAND(0xFFFFFFFF) == 0) for i in range(collections)]
-    return sum((x.cast("int") for pair in halves for x in pair), F.lit(0))
+    half = lambda x: (F.shiftrightunsigned(x, 32) == 0).cast("int") + (x.bitwiseAND(0xFFFFFFFF) == 0).cast("int")
+    return F.aggregate(F.zip_with(a, b, lambda x, y: half(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
 def _first_table(a: str, b: str, collections: int):
-    """The number of the first table that holds both."""
-    out = F.lit(-1)
-    for t, (i, j) in reversed([*enumerate(combinations(range(collections), 2))]):
-        out = F.when((F.col(a)[i] == F.col(b)[i]) & (F.col(a)[j] == F.col(b)[j]), F.lit(t)).otherwise(out)
-    return out
+    """The number of the first table that holds both: that of the first two collections in which they are equal."""
+    same = F.filter(F.sequence(F.lit(0), F.lit(collections - 1)), lambda i: F.get(a, i) == F.get(b, i))
+    i, j = F.get(same, F.lit(0)), F.get(same, F.lit(1))
+    return i * collections - F.shiftright(i * (i + 1), 1) + j - i - 1
 
 
 def _tile(k: int, num: int, den: int):
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
         live = written(live.join(hubs.select("key", F.col("hub.root").alias("hub_root"), F.col("hub.rep").alias("hub_rep")), "key"), "buckets")
         if live.isEmpty():
             break
-        possible = (den * F.least("n", "n_b") >= num * F.greatest("n", "n_b")) & (_equal("sig", "sig_b", collections) >= LEAST_EQUAL)
+        possible = (den * F.least("n", "n_b") >= num * F.greatest("n", "n_b")) & (_equal("sig", "sig_b") >= LEAST_EQUAL)
         last = turn == rounds - 1
         if last:
             live = live.select("key", "t", "rep", "root")
@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
             roots = components(links.union(found), "stars")
             break
         # of the hubs that share a bucket with a node, the one that is most alike
-        best = pairs.withColumn("equal", _equal("sig", "sig_b", collections)).groupBy("a").agg(F.max(F.struct("equal", F.xxhash64("a", "b"), "b")).alias("best"))
+        best = pairs.withColumn("equal", _equal("sig", "sig_b")).groupBy("a").agg(F.max(F.struct("equal", F.xxhash64("a", "b"), "b")).alias("best"))
         pairs = best.select("a", F.col("best.b").alias("b"))
     members = nodes.select("s1", "s2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", "n", "s1", "s2").join(members, ["s1", "s2"], "left")
