@@ -8,9 +8,13 @@ order with a stack of states, which is the depth-first order of their trie witho
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import unicodedata
+from array import array
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import with_package
 
 #: Text bytes of a block at most (a longer text is a block of its own), and words that a worker remembers.
-BLOCK, REMEMBERED = 4 << 20, 300_000
+BLOCK, REMEMBERED = 2 << 20, 200_000
 
 
 class WordBpe:
@@ -51,10 +55,13 @@ class WordBpe:
         self.final = {t[: -len(self.end)]: i for t, i in self.vocab.items() if t.endswith(self.end)}
         self.together: dict[int, bool] = {}
         self.known: dict[bytes, int] = {}
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
-        self.known, self.ids, self.texts = {}, [], []
+    def forget(self) -> None:
+        self.known, self.flat, self.lens, self.texts = {}, array("i"), array("q"), []
+        self.learned = {t: ([i], t) for t, i in self.special.items()}
+        if len(self.together) > 4 * REMEMBERED:
+            self.together.clear()
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE of a few symbols."""
@@ -78,83 +85,97 @@ class WordBpe:
             self.together[key] = out
         return out
 
-    def last(self, word: str, end: int, states: list[tuple[int, int]], table: dict[str, int]) -> tuple[int, int]:
-        """The last token of word[:end] and its length."""
-        together = self.together
-        for start in range(max(0, end - self.longest), end):
-            token = table.get(word[start:end])
-            if token is not None:
-                before = states[start][0]
-                fits = together.get(before * 65536 + token)
-                if fits or fits is None and self.fits(before, token):
-                    return token, end - start
-        raise ValueError(f"no token ends at {end} in {word!r}")
-
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """Token ids of distinct words in byte characters."""
-        out, states, last = {}, [(-1, 0)], ""
+        out, states, last, together, longest = {}, [(-1, 0)], "", self.together, self.longest
         for word in sorted(words):
-            shared, most = 0, min(len(last), len(word) - 1, len(states) - 1)
+            size = len(word)
+            shared, most = 0, min(len(last), size - 1, len(states) - 1)
             while shared < most and last[shared] == word[shared]:
                 shared += 1
             del states[shared + 1 :]
-            for end in range(shared + 1, len(word)):
-                states.append(self.last(word, end, states, self.inner))
-            token, n = self.last(word, len(word), states, self.final)
-            ids, at = [token], len(word) - n
+            # the last token of word[:end] goes together with that of what is before it; at the word's end, tokens are final ones
+            table = self.inner
+            for end in range(shared + 1, size + 1):
+                if end == size:
+                    table = self.final
+                for start in range(end - 1, (end - longest if end > longest else 0) - 1, -1):
+                    token = table.get(word[start:end])
+                    if token is not None:
+                        before = states[start][0]
+                        fits = together.get(before * 65536 + token)
+                        if fits or fits is None and self.fits(before, token):
+                            states.append((token, end - start))
+                            break
+                else:
+                    raise ValueError(f"no token ends at {end} in {word!r}")
+            ids, at = [], size
             while at:
                 token, n = states[at]
                 ids.append(token)
                 at -= n
-            out[word] = ids[::-1]
+            ids.reverse()
+            out[word] = ids
+            states.pop()  # its last token was a final one
             last = word
         return out
 
     def _learn(self, chunks: set[bytes]) -> None:
         """Remembers the ids of chunks, which are texts without ASCII white space."""
         chunks = [*chunks]
-        joined = "\n".join(c.decode() for c in chunks)
+        joined = b"\n".join(chunks).decode()
         pieces = self.special_at.split(joined) if "<|" in joined else [joined]
         found: list[list] = [[]]
         for i, piece in enumerate(pieces):
             if i % 2:
-                found[-1].append(self.special[piece])
+                found[-1].append(piece)
                 continue
             for word in self.words.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()):
                 if word == "\n":
                     found.append([])
                 else:
                     found[-1].append(word)
-        chars = self.byte_chars
-        spelled = {w: "".join([chars[b] for b in w.encode()]) if not w.isascii() or not w.isprintable() else w for own in found for w in own if isinstance(w, str)}
-        encoded = self.encode_words([*set(spelled.values())])
+        learned, chars = self.learned, self.byte_chars
+        new = {w for own in found for w in own}.difference(learned)
+        spelled = {w: w if w.isascii() and w.isprintable() else "".join([chars[b] for b in w.encode()]) for w in new}
+        encoded = self.encode_words(list(spelled.values()))
+        for w, own in spelled.items():
+            ids = encoded[own]
+            learned[w] = ids, " ".join([self.token[i] for i in ids])
+        known, flat, lens, texts = self.known, self.flat, self.lens, self.texts
         for chunk, own in zip(chunks, found, strict=True):
-            ids = [i for w in own for i in ([w] if isinstance(w, int) else encoded[spelled[w]])]
-            self.known[chunk] = len(self.ids)
-            self.ids.append(ids)
-            self.texts.append(" ".join([self.token[i] for i in ids]))
+            known[chunk] = len(lens)
+            if len(own) == 1:
+                ids, text = learned[own[0]]
+                flat.extend(ids)
+                lens.append(len(ids))
+                texts.append(text)
+            else:
+                parts = [learned[w] for w in own]
+                for ids, _ in parts:
+                    flat.extend(ids)
+                lens.append(sum([len(ids) for ids, _ in parts]))
+                texts.append(" ".join([text for _, text in parts]))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Ids of all texts, where each text's begin (and the last one's end), and the texts decoded from them."""
         split = [t.split() for t in texts]
-        every = set().union(*split)
         if len(self.known) > REMEMBERED:
-            self._forget()
-        new = every.difference(self.known)
+            self.forget()
+        new = set().union(*split).difference(self.known)
         if new:
             self._learn(new)
-        known, lens = self.known, np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-        flat = np.fromiter((i for ids in self.ids for i in ids), np.int32, int(lens.sum())) if len(self.ids) else np.empty(0, np.int32)
+        flat, lens = np.array(self.flat, np.int32), np.array(self.lens, np.int64)
         begin = np.cumsum(lens) - lens
-        chunk = np.fromiter((known[c] for s in split for c in s), np.int64, sum(map(len, split)))
+        get, words = self.known.__getitem__, self.texts.__getitem__
+        places = [[*map(get, s)] for s in split]
+        decoded = [" ".join(filter(None, map(words, own))) for own in places]
+        ends = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
+        chunk = np.fromiter(chain.from_iterable(places), np.int64, int(ends[-1]))
         own = lens[chunk]
         at = np.cumsum(own) - own
         ids = flat[np.repeat(begin[chunk] - at, own) + np.arange(int(own.sum()))]
-        ends = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
-        offsets = np.concatenate([at, [len(ids)]])[ends]
-        words = self.texts
-        decoded = [" ".join(filter(None, [words[known[c]] for c in s])) for s in split]
-        return ids, offsets, decoded
+        return ids, np.concatenate([at, [len(ids)]])[ends], decoded
 
 
 @cache
@@ -173,15 +194,21 @@ def _encode(shared):
             return pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)), pa.array(decoded, pa.string())], schema=schema)
 
         rows, held = [], 0
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                rows.append((i, text.as_py() or b""))
-                held += len(rows[-1][1])
-                if held >= BLOCK:
-                    yield out(rows)
-                    rows, held = [], 0
-        if rows:
-            yield out(rows)
+        try:
+            for batch in batches:
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                    rows.append((i, text.as_py() or b""))
+                    held += len(rows[-1][1])
+                    if held >= BLOCK:
+                        yield out(rows)
+                        rows, held = [], 0
+            if rows:
+                yield out(rows)
+        finally:
+            bpe.forget()  # the worker goes on to other tasks, and perhaps to none that needs its memory
+            gc.collect()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
 
     return run
 
