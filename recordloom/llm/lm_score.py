@@ -1,11 +1,11 @@
 """Language-model scores from a log-frequency Bloom filter (Talbot and Osborne, 2007).
 
-Counts of all words and word pairs of the training documents are gathered in segments of the hash space. An n-gram is
-in its segment's filter once for every step of a logarithmic scale that its count reaches; probing step after step until
-one fails gives the count back, quantised. The segments together hold MAX_BYTES at most, whatever the corpus: a
-segment that would be larger starts its scale at the lowest count with which it fits. So the filter, which is what is
-broadcast, has a fixed bound, its rate of false positives stays where it is (10 bits and 4 probes a step: 1.2 %), and
-the rarest pairs are what a larger corpus loses; the counts themselves are taken over all of it.
+Documents are dealt to blocks, and the distinct words and word pairs of every block go to segments of the hash space. A
+segment adds up the counts of its n-grams and holds them in a filter: an n-gram is in it once for every step of a
+logarithmic scale that its count reaches, from 1 on; probing step after step until one fails gives the count back,
+quantised (10 bits and 4 probes a step: 1.2 % false positives). The segment probes its filter for the n-grams of every
+block and sends the steps back to the block, where the documents are scored. So every n-gram of the training documents
+is in a filter, the filters grow with the distinct n-grams, and a worker holds one segment or one block at a time.
 """
 
 from __future__ import annotations
@@ -21,15 +21,11 @@ from pyspark.sql import functions as F
 from ..session import with_package
 from .common import LOWER, written
 
-MAX_BYTES = 48 << 20
 BITS_PER_STEP, PROBES = 10, 4
-#: Tokens of a numpy block at most; a longer text is a block of its own.
-BLOCK = 1 << 19
+#: Text bytes of a block of documents, which is scored at once; a longer text is in one block all the same.
+BLOCK_BYTES = 4 << 20
 #: Text bytes behind a segment of the hash space, and the most segments.
 SEGMENT_BYTES, MAX_SEGMENTS = 8 << 20, 1 << 16
-#: Words whose exact counts every worker has; those of the others come by a join.
-FREQUENT = 1 << 16
-
 _U = np.uint64
 _MIX, _POLY, _STEP = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
 _END, _START, _WORD = _U(0x1B873593CC9E2D51), _U(0x85EBCA6BC2B2AE35), _U(0xE7037ED1A0B428DB)
@@ -56,59 +52,61 @@ def token_hashes(text: bytes) -> np.ndarray:
     return out
 
 
-def _blocks(batches):
-    """Lists of (row values, token hashes) of about BLOCK tokens."""
-    rows, held = [], 0
+def _groups(batches, key: int):
+    """(key, rows) of rows that come sorted by their column number key."""
+    now, rows = None, []
     for batch in batches:
-        ids = list(zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns - 1)], strict=True))
-        for own, text in zip(ids, batch.column(batch.num_columns - 1).cast(pa.binary()), strict=True):
-            rows.append((own, token_hashes(text.as_py() or b"")))
-            held += len(rows[-1][1])
-            if held >= BLOCK:
-                yield rows
-                rows, held = [], 0
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if row[key] != now and rows:
+                yield now, rows
+                rows = []
+            now = row[key]
+            rows.append(row)
     if rows:
-        yield rows
+        yield now, rows
 
 
-def _grams(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, pairs with the token before, and where documents begin."""
-    at = np.concatenate([[0], np.cumsum([len(t) for _, t in rows])[:-1]]).astype(np.int64)
-    tokens = np.concatenate([t for _, t in rows])
+def _grams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, pairs with the token before, where documents begin, and their tokens."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    at = np.cumsum(sizes) - sizes
+    tokens = np.concatenate(texts)
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[at] = _START
-    return tokens, _mix(before * _POLY ^ tokens), at
+    return tokens, _mix(before * _POLY ^ tokens), at, sizes
+
+
+def _dealt(grams: np.ndarray, log_segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of sorted n-grams, ascending, the order that sorts them so, and where segments begin."""
+    segment = (_mix(grams) >> _U(64 - log_segments)).astype(np.int32) if log_segments else np.zeros(len(grams), np.int32)
+    order = np.argsort(segment, kind="stable")
+    segment = segment[order]
+    return segment, order, np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1])
 
 
 def _count(log_segments: int):
-    schema = pa.schema([("segment", pa.int32()), ("pairs", pa.bool_()), ("hashes", pa.binary()), ("counts", pa.binary())])
+    """Rows (block, held_out, text) of a block, which come together, become its distinct n-grams by segment, with the times they are in training documents."""
+    schema = pa.schema([("block", pa.int32()), ("pairs", pa.bool_()), ("segment", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
-        for rows in _blocks(batches):
-            tokens, pairs, _ = _grams(rows)
+        for block, rows in _groups(batches, 0):
+            tokens, pairs, _, sizes = _grams([token_hashes(text.encode()) for _, _, text in rows])
+            train = np.repeat([not held for _, held, _ in rows], sizes)
             for kind, grams in ((False, tokens), (True, pairs)):
-                found, counts = np.unique(grams, return_counts=True)
-                segment = (_mix(found) >> _U(64 - log_segments)).astype(np.int32) if log_segments else np.zeros(len(found), np.int32)
-                order = np.argsort(segment, kind="stable")
-                found, counts, segment = found[order], counts[order].astype(np.int64), segment[order]
-                cuts = np.flatnonzero(np.diff(segment)) + 1
-                starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(segment)]])
+                found, which = np.unique(grams, return_inverse=True)
+                counts = np.bincount(which[train], minlength=len(found)).astype(np.int64)
+                segment, order, starts = _dealt(found, log_segments)
+                found, counts, ends = found[order], counts[order], np.append(starts[1:], len(found))
                 for a in range(0, len(starts), 1024):
                     pick = list(zip(starts[a : a + 1024], ends[a : a + 1024], strict=True))
-                    yield pa.record_batch([pa.array([segment[s] for s, _ in pick], pa.int32()), pa.array([kind] * len(pick)), pa.array([found[s:e].tobytes() for s, e in pick], pa.binary()), pa.array([counts[s:e].astype(np.int32).tobytes() for s, e in pick], pa.binary())], schema=schema)
+                    # most counts fit a byte
+                    small = [counts[s:e].astype(np.uint8 if counts[s:e].max() < 256 else np.int64).tobytes() for s, e in pick]
+                    yield pa.record_batch([pa.array([block] * len(pick), pa.int32()), pa.array([kind] * len(pick)), pa.array([segment[s] for s, _ in pick], pa.int32()), pa.array([found[s:e].tobytes() for s, e in pick], pa.binary()), pa.array(small, pa.binary())], schema=schema)
 
     return run
 
 
-def _merged(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    h, c = np.concatenate(hashes), np.concatenate(counts)
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[first], np.add.reduceat(c[order], first)
-
-
 def _probe_bits(h: np.ndarray, step: np.ndarray | np.uint64, bits: np.ndarray | np.uint64):
     x = _mix(h + _STEP * (step + _U(1)))
     y = _mix(x ^ _POLY) | _U(1)
@@ -134,40 +132,8 @@ def build_filter(hashes: np.ndarray, counts: np.ndarray, most_bytes: int) -> tup
     return first, size * 8, np.packbits(flags, bitorder="little").tobytes()
 
 
-def _merge(most_bytes: int):
-    """Rows of a segment, which come together, become one: its words with their counts, and the filter."""
-    schema = pa.schema([("segment", pa.int32()), ("n_types", pa.int64()), ("n_tokens", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("first", pa.int32()), ("bits", pa.int64()), ("filter", pa.binary())])
-
-    def run(batches):
-        now, held = None, {}
-
-        def out():
-            kinds = {k: _merged(*v) for k, v in held.items()}
-            words, n = kinds.get(False, (np.empty(0, _U), np.empty(0, np.int64)))
-            pairs, m = kinds.get(True, (np.empty(0, _U), np.empty(0, np.int64)))
-            first, bits, flags = build_filter(np.concatenate([_mix(words ^ _WORD), pairs]), np.concatenate([n, m]), most_bytes)
-            return pa.record_batch([pa.array([x], t) for x, t in zip((now, len(words), int(n.sum()), words.tobytes(), n.tobytes(), first, bits, flags), schema.types, strict=True)], schema=schema)
-
-        for batch in batches:
-            for segment, kind, h, c in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                if segment != now:
-                    if held:
-                        yield out()
-                    now, held = segment, {}
-                hashes, counts = held.setdefault(kind, ([], []))
-                hashes.append(np.frombuffer(h, _U))
-                counts.append(np.frombuffer(c, np.int32).astype(np.int64))
-                if len(hashes) > 64:
-                    h, c = _merged(hashes, counts)
-                    held[kind] = ([h], [c])
-        if held:
-            yield out()
-
-    return run
-
-
 class Filter:
-    """The whole filter, as workers probe it. Segments are by the mixed hash, as counts are gathered."""
+    """Filters of segments, as they are probed. Segments are by the mixed hash, as counts are gathered."""
 
     def __init__(self, log_segments: int, parts: Iterable[tuple[int, int, int, bytes]], most_bytes: int):
         """parts, of most_bytes together at most, are taken one after the other."""
@@ -180,8 +146,8 @@ class Filter:
             at += len(flags)
         self.data = data[:at].copy()
 
-    def counts(self, grams: np.ndarray, words: bool) -> np.ndarray:
-        """Quantised counts of distinct n-grams."""
+    def reached(self, grams: np.ndarray, words: bool) -> np.ndarray:
+        """The steps that the counts of distinct n-grams reach."""
         h = _mix(grams ^ _WORD) if words else grams
         segment = (_mix(grams) >> _U(64 - self.shift)).astype(np.int64) if self.shift else np.zeros(len(grams), np.int64)
         bits, at, first = self.bits[segment], self.at[segment], self.first[segment]
@@ -196,50 +162,72 @@ class Filter:
             alive = alive[hit]
             step[alive] += 1
             reached[alive] = step[alive]
-        return VALUE[reached]
+        return reached
+
+    def counts(self, grams: np.ndarray, words: bool) -> np.ndarray:
+        """Quantised counts of distinct n-grams."""
+        return VALUE[self.reached(grams, words)]
 
 
-def _score(shared, pull: float):
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))])
+def _probe():
+    """Rows of a segment, which come together, are answered: the step that each n-gram reaches in the segment's filter, and the exact counts of words."""
+    schema = pa.schema([("block", pa.int32()), ("pairs", pa.bool_()), ("segment", pa.int32()), ("steps", pa.binary()), ("exact", pa.binary()), ("n_types", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches):
-        model = shared.value
-        flt, top, top_counts, n_docs, total = model["filter"], model["top"], model["top_counts"], model["n_docs"], model["total"]
-        for rows in _blocks(batches):
-            tokens, pairs, at = _grams(rows)
-            words, which = np.unique(tokens, return_inverse=True)
-            own = flt.counts(words, True)[which]
+        for segment, rows in _groups(batches, 2):
+            kinds = {}
+            for kind in (False, True):
+                own = [(block, np.frombuffer(h, _U), c) for block, pairs, _, h, c in rows if pairs == kind]
+                if own:
+                    counts = np.concatenate([np.frombuffer(c, np.uint8 if len(c) == len(h) else np.int64).astype(np.int64) for _, h, c in own])
+                    grams, which = np.unique(np.concatenate([h for _, h, _ in own]), return_inverse=True)
+                    total = np.zeros(len(grams), np.int64)
+                    np.add.at(total, which, counts)
+                    kinds[kind] = own, grams, which, total
+            hashes = np.concatenate([grams[total > 0] if kind else _mix(grams[total > 0] ^ _WORD) for kind, (_, grams, _, total) in kinds.items()])
+            counts = np.concatenate([total[total > 0] for _, _, _, total in kinds.values()])
+            # as large as its n-grams need
+            first, bits, flags = build_filter(hashes, counts, (len(SCALE) * len(hashes) + 1) * BITS_PER_STEP)
+            flt = Filter(0, [(0, first, bits, flags)], len(flags))
+            for kind, (own, grams, which, total) in kinds.items():
+                steps, exact = flt.reached(grams, not kind).astype(np.uint8)[which], b"" if kind else total[which]
+                ends = np.cumsum([len(h) for _, h, _ in own])
+                n, cuts = len(own), list(zip(np.append(0, ends[:-1]), ends, strict=True))
+                known = [0, 0] if kind else [int((total > 0).sum()), int(total.sum())]
+                yield pa.record_batch([pa.array([block for block, _, _ in own], pa.int32()), pa.array([kind] * n), pa.array([segment] * n, pa.int32()), pa.array([steps[s:e].tobytes() for s, e in cuts], pa.binary()), pa.array([None if kind else exact[s:e].tobytes() for s, e in cuts], pa.binary()), *[pa.array([x] + [0] * (n - 1), pa.int64()) for x in known]], schema=schema)
+
+    return run
+
+
+def _score(log_segments: int, n_docs: float, total: float, pull: float):
+    """Rows of a block, which come together and by segment: answers (pairs, steps, exact), and documents (doc_id, held_out, text)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def run(batches):
+        for _, rows in _groups(batches, 0):
+            docs = [r for r in rows if r[1]]
+            tokens, pairs, at, sizes = _grams([token_hashes(r[-1].encode()) for r in docs])
+
+            def answered(grams, kind, column, dtype):
+                found, which = np.unique(grams, return_inverse=True)
+                out = np.empty(len(found), dtype)
+                out[_dealt(found, log_segments)[1]] = np.frombuffer(b"".join(r[column] for r in rows if not r[1] and r[2] == kind), dtype)  # noqa: B023
+                return out[which]
+
+            own = VALUE[answered(tokens, False, 4, np.uint8)]
             before = np.empty_like(own)
             before[1:] = own[:-1]
             before[at] = n_docs
-            joint, where = np.unique(pairs, return_inverse=True)
-            both = np.minimum(flt.counts(joint, False)[where], before)
+            both = np.minimum(VALUE[answered(pairs, True, 4, np.uint8)], before)
             p = (both + pull * (own + 0.1) / total) / (before + pull)
-            score = np.add.reduceat(np.log10(p), at)
-            # exact counts of frequent words
-            place = np.minimum(np.searchsorted(top, words), max(len(top) - 1, 0))
-            is_top = top[place] == words if len(top) else np.zeros(len(words), bool)
-            logs = np.where(is_top, np.log10(top_counts[place] + 0.1), 0.0) if len(top) else np.zeros(len(words))
-            known = np.add.reduceat(is_top[which].astype(np.int64), at)
-            doc = np.repeat(np.arange(len(rows)), np.diff(np.concatenate([at, [len(tokens)]])))
-            rare = ~is_top[which]
-            key, n = np.unique(doc[rare] * len(words) + which[rare], return_counts=True)
-            ends = np.searchsorted(key // max(len(words), 1), np.arange(len(rows) + 1))
-            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words[key % max(len(words), 1)].view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"]))
-            sizes = np.diff(np.concatenate([at, [len(tokens)]]))
-            logs = np.add.reduceat(logs[which], at)
-            yield pa.record_batch([pa.array([o[0] for o, _ in rows], pa.int64()), pa.array([o[1] for o, _ in rows], pa.bool_()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(logs), pa.array(score), rest], schema=schema)
+            exact = answered(tokens, False, 5, np.int64)
+            base = np.add.reduceat(np.log10(exact + 0.1), at) - sizes * np.log10(total)
+            yield pa.record_batch([pa.array([r[6] for r in docs], pa.int64()), pa.array([r[7] for r in docs], pa.bool_()), pa.array(sizes), pa.array(np.add.reduceat((exact > 0).astype(np.int64), at)), pa.array(base), pa.array(np.add.reduceat(np.log10(p), at))], schema=schema)
 
     return run
 
 
-def _unpack(batches):
-    for batch in batches:
-        for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            yield pa.record_batch([pa.array(np.frombuffer(h, np.int64)), pa.array(np.frombuffer(c, np.int64))], names=["h", "c"])
-
-
-def lm_scores(docs: DataFrame, max_bytes: int = MAX_BYTES, pull: float = 100.0) -> DataFrame:
+def lm_scores(docs: DataFrame, pull: float = 100.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
     Tokens are lower-cased words, then an end; documents whose crc32(doc_id as text) is divisible by 10 are held out
@@ -254,23 +242,18 @@ def lm_scores(docs: DataFrame, max_bytes: int = MAX_BYTES, pull: float = 100.0)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size, n_docs = docs.agg(F.sum(F.octet_length("text")), F.count(F.when(~F.col("held_out"), 1))).first()
     log = min((max(size or 0, 1) // SEGMENT_BYTES).bit_length() + 3, MAX_SEGMENTS.bit_length() - 1)
-    grams = docs.where(~F.col("held_out")).mapInArrow(_count(log), "segment int, pairs boolean, hashes binary, counts binary")
+    # by content, so that both times it is dealt a block has the same rows
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit((size or 0) // BLOCK_BYTES + 1)).cast("int"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    merged = grams.repartition(parts, "segment").sortWithinPartitions("segment").mapInArrow(_merge(max_bytes >> log), "segment int, n_types long, n_tokens long, hashes binary, counts binary, first int, bits long, filter binary")
-    merged = written(merged, "counts")
-    n_types, n_tokens = merged.agg(F.coalesce(F.sum("n_types"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    vocabulary = merged.select("hashes", "counts").mapInArrow(_unpack, "h long, c long")
-    top = vocabulary.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
-    order = np.argsort(top["h"].to_numpy(np.int64).view(_U))
+    grams = docs.select("block", "held_out", "text").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_count(log), "block int, pairs boolean, segment int, hashes binary, counts binary")
+    answers = grams.repartition(parts, "segment").sortWithinPartitions("segment").mapInArrow(_probe(), "block int, pairs boolean, segment int, steps binary, exact binary, n_types long, n_tokens long")
+    answers = written(answers, "counts")
+    n_types, n_tokens = answers.agg(F.coalesce(F.sum("n_types"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     total = n_tokens + 0.1 * (n_types + 1)
-    flt = Filter(log, merged.select("segment", "first", "bits", "filter").toLocalIterator(), max_bytes)
-    shared = spark.sparkContext.broadcast({"filter": flt, "top": top["h"].to_numpy(np.int64).view(_U)[order], "top_counts": top["c"].to_numpy(np.int64)[order], "n_docs": float(n_docs), "total": total})
-    scored = docs.mapInArrow(_score(shared, pull), "doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rest array<struct<h: long, n: long>>")
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scores")
-    rare = scored.select("row", F.explode("rest").alias("x")).select("row", "x.h", "x.n").join(vocabulary, "h")
-    rare = rare.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 0.1)).alias("more_logs"))
-    out = scored.drop("rest").join(rare, "row", "left").withColumn("more", F.coalesce("more", F.lit(0))).withColumn("more_logs", F.coalesce("more_logs", F.lit(0.0)))
-    n_known = F.col("known") + F.col("more")
-    # a word without a count adds log10(0.1)
-    base = F.col("logs") + F.col("more_logs") - (F.col("n_tokens") - n_known) - F.col("n_tokens") * F.log10(F.lit(float(total)))
-    return out.select("doc_id", "held_out", "n_tokens", n_known.alias("n_known"), F.lit(int(n_tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    columns = ["block", "is_doc", "pairs", "segment", "steps", "exact", "doc_id", "held_out", "text"]
+    rows = answers.withColumn("is_doc", F.lit(False)).select(*columns[:6], F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"))
+    none = F.lit(None)
+    rows = rows.union(docs.select("block", F.lit(True), none.cast("boolean"), none.cast("int"), none.cast("binary"), none.cast("binary"), "doc_id", "held_out", "text"))
+    rows = rows.repartition(parts, "block").sortWithinPartitions("block", "is_doc", "pairs", "segment", "doc_id")
+    scored = rows.mapInArrow(_score(log, float(n_docs), float(total), pull), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n_tokens)).cast("long").alias("train_tokens"), "base_score", "score")

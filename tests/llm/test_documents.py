@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +197,29 @@ def test_filter_gives_quantised_counts_back():
     assert (got[counts >= lm_score.SCALE[first]] > 0).all()
 
 
+def test_filters_grow_with_the_ngrams(spark):
+    """N-grams that occur once keep their counts, and a segment's filter has no bound that could leave them out."""
+    r = np.random.RandomState(3)
+    words = [[f"w{x}" for x in r.randint(0, 1 << 40, 1000)] for _ in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    got = {row["doc_id"]: row for row in lm_score.lm_scores(docs).collect()}
+    train = [w for i, w in enumerate(words) if not held(i)]
+    n = sum(len(w) + 1 for w in train)
+    total = n + 0.1 * (len({x for w in train for x in w}) + 2)
+    # a training document's words and pairs occur once, and its first word follows the start, but for false positives
+    once = lambda before: (1 + 100 * 1.1 / total) / (before + 100)
+    end = len(train)
+    want = math.log10(once(end)) + 999 * math.log10(once(1)) + math.log10((1 + 100 * (end + 0.1) / total) / 101)
+    scores = [got[i]["score"] for i in got if not held(i)]
+    assert len(got) == 400 and abs(np.mean(scores) - want) < 0.02 * abs(want)
+    # 48 MB over 1024 segments, as the filter was bounded on 0.5 GB, hold some 40,000 of these
+    grams = np.unique(r.randint(1, 1 << 62, 300_000, dtype=np.int64).astype(np.uint64))
+    rows = pa.record_batch({"block": pa.array([0], pa.int32()), "pairs": [True], "segment": pa.array([0], pa.int32()), "hashes": [grams.tobytes()], "counts": [np.ones(len(grams), np.uint8).tobytes()]})
+    (answer,) = lm_score._probe()([rows])
+    assert (np.frombuffer(answer.column(3)[0].as_py(), np.uint8) >= 1).all()
+
+
 def test_held_out_words_are_likelier_with_the_model(spark):
     rows = [(i, " ".join(f"a{(i + j) % 17} b{(i + j) % 17}" for j in range(30))) for i in range(200)]
     got = lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
