@@ -17,7 +17,7 @@ from recordloom.llm.quality import kept_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality rules reject."""
+    """Without the documents that the quality rules reject, and without the boilerplate lines of the others."""
     return kept_documents(docs)
 
 

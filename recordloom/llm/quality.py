@@ -9,6 +9,7 @@ de-duplication to deal with: rejecting all of them here would lose their text al
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -47,6 +48,20 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def without_lines(text: bytes, gone: set[int]) -> bytes:
+    """The text without the lines of these hashes."""
+    left = []
+    for line in text.split(b"\n"):
+        parts = line.translate(_NORMAL).split()
+        if not parts or _signed(xxhash.xxh3_64_intdigest(b" ".join(parts))) not in gone:
+            left.append(line)
+    return b"\n".join(left)
+
+
 def figures(text: bytes) -> tuple[list[int], list[dict]]:
     """The figures of a text, and its distinct normalised lines with their words and a hash of their neighbours."""
     words = text.split()
@@ -64,8 +79,7 @@ def figures(text: bytes) -> tuple[list[int], list[dict]]:
             found[h][1] += n
         else:
             found[h] = [hash((lines[i - 1][0] if i else 0, lines[i + 1][0] if i + 1 < len(lines) else 0)), n]
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    return [len(words), chars, len(text) - len(text.translate(None, _SYMBOLS)), repeats, repeated_words(words)], [{"line": signed(h), "around": around, "words": n} for h, (around, n) in found.items()]
+    return [len(words), chars, len(text) - len(text.translate(None, _SYMBOLS)), repeats, repeated_words(words)], [{"line": _signed(h), "around": around, "words": n} for h, (around, n) in found.items()]
 
 
 def _measure(batches):
@@ -83,14 +97,8 @@ def _of_lines(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys) if few else keys, ["host", "line"])
 
 
-def quality(docs: DataFrame, least_docs: int = 10, most_share: float = 0.005, least_varied: float = 0.5, least_left: float = 0.3, least_words: int = 50) -> DataFrame:
-    """For every row of docs (doc_id, source, text): its figures, base_failed, kept, removed_words, source and h, the text's hash.
-
-    A line of a host (source) is removed if more documents have it than least_docs and than most_share of the host's
-    documents, and if at least least_varied of them have it between other lines. A document is rejected by the base
-    rules, or if removed lines leave less than least_left of its words. Null texts are empty, and fail; a null source
-    is a host of its own; repeated rows stand for themselves; an empty table gives an empty result.
-    """
+def _judged(docs: DataFrame, least_docs: int = 10, most_share: float = 0.005, least_varied: float = 0.5, least_left: float = 0.3, least_words: int = 50) -> DataFrame:
+    """quality() with removed_lines, the hashes of the lines that are removed, or null."""
     with_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, source string, h long, " + ", ".join(f"{c} long" for c in _FIGURES) + ", lines array<struct<line: long, around: long, words: long>>"
@@ -102,16 +110,44 @@ def quality(docs: DataFrame, least_docs: int = 10, most_share: float = 0.005, le
     often = written(often.join(hosts, "host").where("n > most").select("host", "line", "n"), "lines")
     places = _of_lines(lines, often).groupBy("host", "line", "around", "n").count().groupBy("host", "line", "n").agg(F.count("*").alias("varied"))
     removed = written(places.where(F.col("varied") >= least_varied * F.col("n")).select("host", "line"), "lines")
-    lost = _of_lines(lines, removed).groupBy("row").agg(F.sum("words").alias("removed_words"))
+    lost = _of_lines(lines, removed).groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed_lines"))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words") >= least_left * F.col("n_words")
     out = base.drop("lines", "host").join(lost, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
-    return out.select("doc_id", *_FIGURES, failed.alias("base_failed"), (~failed & left).alias("kept"), "removed_words", "source", "h")
+    return out.select("doc_id", *_FIGURES, failed.alias("base_failed"), (~failed & left).alias("kept"), "removed_words", "source", "h", "removed_lines")
+
+
+def quality(docs: DataFrame, **how) -> DataFrame:
+    """For every row of docs (doc_id, source, text): its figures, base_failed, kept, removed_words, source and h, the text's hash.
+
+    A line of a host (source) is removed if more documents have it than least_docs and than most_share of the host's
+    documents, and if at least least_varied of them have it between other lines. A document is rejected by the base
+    rules, or if removed lines leave less than least_left of its words. Null texts are empty, and fail; a null source
+    is a host of its own; repeated rows stand for themselves; an empty table gives an empty result.
+    """
+    return _judged(docs, **how).drop("removed_lines")
 
 
 def kept_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that quality() keeps; equal rows stay or go together."""
-    judged = quality(docs, **how)
-    gone = judged.where(~F.col("kept")).select("doc_id", "source", F.col("h").alias("__text")).distinct()
+    """The rows of docs that quality() keeps, without the lines it removes; equal rows stay or go together.
+
+    n_chars, if docs has it, is counted anew where lines are removed."""
+    on = ["doc_id", "source", "__text"]
+    judged = _judged(docs, **how).where(~F.col("kept") | F.col("removed_lines").isNotNull()).withColumnRenamed("h", "__text")
+    judged = written(judged.groupBy(*on).agg(F.min("kept").alias("kept"), F.first("removed_lines").alias("__gone")), "judged")
     keyed = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
-    return matching(keyed, gone, ["doc_id", "source", "__text"], "left_anti").select(*docs.columns)
+    left = matching(keyed, judged.where(~F.col("kept")), on, "left_anti")
+    cut = judged.where("kept").select(*[F.col(c).alias(f"__{c}") for c in on], "__gone")
+    # a document has a line or a few of these
+    few = (cut.agg(F.sum(F.size("__gone"))).first()[0] or 0) <= BROADCAST_LINES
+    left = left.join(F.broadcast(cut) if few else cut, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on], "left")
+
+    @F.pandas_udf("string")
+    def stripped(text: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series([None if g is None else without_lines(t.encode(), set(g.tolist())).decode() for t, g in zip(text, gone, strict=True)], dtype=object)
+
+    left = left.withColumn("__left", stripped(F.when(F.col("__gone").isNotNull(), F.col("text").cast("string")), F.col("__gone")))
+    new = {"text": F.coalesce("__left", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("__gone").isNotNull(), F.length("__left").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return left.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -113,6 +113,19 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert all(got[200 + i]["kept"] and got[200 + i]["removed_words"] == 0 for i in range(40))
 
 
+def test_kept_documents_are_without_boilerplate(spark):
+    spell = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    prose = lambda i: " ".join(f"t{spell(i)}x{spell(j)}" for j in range(60))
+    bar = "Ménü " + " ".join(f"menu{spell(k)}" for k in range(10)) + " 2024"
+    rows = [(i, "h" if i % 2 else None, f"{prose(i)}\n\n{bar}\n{prose(i + 1000)}", 7) for i in range(60)]
+    rows += [rows[3], (100, "other", f"{prose(100)}\n{bar}", 8), (101, "h", bar, 9)]
+    got = sorted(map(tuple, quality.kept_documents(spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars long")).collect()))
+    assert len(got) == 62 and 101 not in {r[0] for r in got}
+    for i, source, text, n_chars in got:
+        want = f"{prose(100)}\n{bar}" if i == 100 else f"{prose(i)}\n\n{prose(i + 1000)}"
+        assert (source, text, n_chars) == ("other" if i == 100 else "h" if i % 2 else None, want, 8 if i == 100 else len(want))
+
+
 def test_mixture(odd, odd_docs, crowded, nothing):
     got = mixture.mixture(odd, block=64).collect()
     assert len(got) == len(odd_docs)
