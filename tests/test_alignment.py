@@ -1,6 +1,7 @@
 """The aligner on small sessions, its path against all paths, and its similarity against plain definitions."""
 
 import random
+from difflib import SequenceMatcher
 from itertools import product
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import similarity as S
 from recordloom.operators import alignment as A
+from recordloom.plans import alignment as plans
 
 SEG = "session string, seg long, id string, start double, end double, normalized_text string"
 BLOCK = "session string, pos int, block_id string, kind string, text string"
@@ -108,3 +110,21 @@ def test_wrong_overrides_fail(spark, row):
     with pytest.raises(Exception, match="invalid manual override"):
         A.align(b, seg, over).collect()
     assert A.override_faults(over, b, seg.groupBy("session").agg(F.max("end").alias("duration"))).count() == 1
+
+
+def test_reference_match_meets_every_document(spark, tmp_path):
+    """Against all pairs; passages are in long documents, at any id, and some items share no token with any."""
+    r = random.Random(5)
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.choice([5, 40, 500])))) for i in range(60)] + [(60, None), (61, "")]
+    items = [(i, " ".join(docs[(i * 7 + 3) % 60][1].split()[:30])) for i in range(12)] + [(12, "zzz yyy"), (13, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = set()
+    for i, q in items:
+        qs = set(q.split())
+        score = lambda t: 0.75 * len(qs & set(t.split())) / max(1, len(qs)) + 0.25 * SequenceMatcher(None, q, t).ratio()  # noqa: B023, E731
+        best = min((d for d in docs if d[1] is not None), key=lambda d: (-score(d[1]), d[0]))  # noqa: B023
+        want.add((i, f"d{best[0]:05d}", round(score(best[1]), 4)))
+    got = plans.reference_match(spark, str(tmp_path)).collect()
+    assert {(x["moment"], x["block_id"], x["block_match_score"]) for x in got} == want and len(got) == len(items)
