@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import with_package, written
 
 #: Words are runs of anything but these six bytes, which is also what bytes.split() does.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +16,8 @@ _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 LOWER = bytes(b + 32 if b in _UPPER else b for b in range(256))
 #: Rows of short keys that are broadcast at most.
 BROADCAST_KEYS = 300_000
+#: Edges that a task shrinks to stars at a time.
+FOREST = 200_000
 
 
 def matching(docs: DataFrame, keys: DataFrame, on: list[str], how: str, most: int = BROADCAST_KEYS) -> DataFrame:
@@ -32,13 +35,45 @@ def lower(name: str):
     return F.translate(F.col(name), _UPPER.decode(), _UPPER.decode().lower())
 
 
+def _forest(batches):
+    """Edges (a, b) of a task, a bounded number at a time, become the stars of their components."""
+
+    def stars(edges):
+        up: dict[int, int] = {}
+
+        def root(x):
+            top = x
+            while (above := up.get(top, top)) != top:
+                top = above
+            while x != top:
+                up[x], x = top, up[x]
+            return top
+
+        for a, b in edges:
+            s, t = root(a), root(b)
+            if s != t:
+                up[max(s, t)] = min(s, t)
+        ends = [(x, root(x)) for x in list(up)]
+        return pa.record_batch([pa.array([x for x, _ in ends], pa.int64()), pa.array([r for _, r in ends], pa.int64())], names=["a", "b"])
+
+    edges = set()
+    for batch in batches:
+        edges.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        if len(edges) > FOREST:
+            yield stars(edges)
+            edges = set()
+    yield stars(edges)
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for every node of edges (a, b) but the roots: root is the smallest node that can be reached.
 
-    Alternating large-star and small-star steps; each rewrites the edges, of which there are never more than before,
-    and the driver only learns whether they are stars.
+    Edges shrink to stars within their tasks; then large-star and small-star steps alternate; each rewrites the edges, of
+    which there are never more than before, and the driver only learns whether they are stars.
     """
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    with_package(edges.sparkSession)
+    edges = edges.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long")
+    edges = written(edges, name)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -5,12 +5,11 @@ collections, so m collections give m(m-1)/2 tables. With the defaults, 12 collec
 4 minhashes for 24 computed ones instead of 264, and a pair at similarity 0.8 shares no table with probability 1e-4
 (0.9: 1e-7). Such a pair is lost only if no chain of other links joins it.
 
-Work in a bucket is linear, not quadratic: equal sets are one node from the start; each round compares a node with a
-few hubs of its buckets, and buckets whose nodes are all in one component drop out. What is left are buckets of nodes that
-are alike but mostly below the threshold. There the pairs of different components are compared, if their sizes and 24
-minhashes leave a link possible (fewer than 10 equal minhashes: below 4e-5 of the pairs at similarity 0.8): in small
-buckets pair by pair; large buckets that share nodes form a family, whose members outside its main component are a
-query set held against the whole family, block by block, so that no pair but a link leaves a task.
+Work in a bucket is linear, not quadratic: equal sets are one node from the start, and every node is compared with a
+few hubs of its buckets. Buckets whose nodes are all linked through hubs drop out. What is left are buckets of nodes that
+are alike but mostly below the threshold: small ones are compared pair by pair, large buckets that share nodes form a
+family, whose members outside its main component are a query set held against the whole family, block by block, so
+that no pair but a link leaves a task. All links together give the components, once, at the end.
 """
 
 from __future__ import annotations
@@ -28,9 +27,10 @@ from .common import LOWER, components, matching, written
 BLOCK = 1 << 18
 #: Members that one task compares with a hub in a row.
 SALT_ROWS = 512
-LEAST_EQUAL = 10
-#: Nodes of a bucket that are compared pair by pair; those of larger ones meet in tiles of two blocks of this many nodes.
-SMALL, TILE = 16, 256
+#: Nodes of a bucket that are compared pair by pair; those of larger ones meet in tiles of two blocks of about so many shingles.
+SMALL, TILE = 16, 1 << 18
+#: Masks by which the order of ids is turned: the smallest id under each is a hub of its bucket.
+HUBS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 #: 8-byte ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -161,17 +161,21 @@ def _first_table(a: str, b: str, collections: int):
     return i * collections - F.shiftright(i * (i + 1), 1) + j - i - 1
 
 
+def _shared(one: np.ndarray, two: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many shingles of one set each of n sets has, whose shingles are two, sorted, of the set owner."""
+    low, high = np.searchsorted(two, one, "left"), np.searchsorted(two, one, "right")
+    many = high - low
+    at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+    return np.bincount(owner[at], minlength=n)
+
+
 def _tile(k: int, num: int, den: int):
-    """Rows (tile, side, rep, root, n, sig, text), a tile's together: links that join components of side 0 with those
-    of side 1, or, where there is no side 1, of side 0 with one another."""
+    """Rows (tile, side, rep, root, text), a tile's together: links that join components of side 0 with those of side 1,
+    or, where there is no side 1, of side 0 with one another. Shared shingles are counted exactly."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def links(rows):
-        sides = [[r for r in rows if r[1] == 0], [r for r in rows if r[1] == 1]]
+    def links(sides):
         one, two = sides[0], sides[1] or sides[0]
-        sig = [np.array([r[5] for r in side], np.int64).reshape(len(side), -1).view(np.uint64) for side in (one, two)]
-        size = [np.array([r[4] for r in side]) for side in (one, two)]
-        sets: dict[int, np.ndarray] = {}
         to: dict[int, int] = {}
 
         def root(x):
@@ -179,58 +183,52 @@ def _tile(k: int, num: int, den: int):
                 x = up
             return x
 
-        def own(r):
-            if r[2] not in sets:
-                sets[r[2]] = shingle_set(r[6].as_py(), k)
-            return sets[r[2]]
-
-        out, low = [], np.uint64(0xFFFFFFFF)
-        for i, r in enumerate(one):
-            apart = sig[0][i] ^ sig[1]
-            equal = ((apart >> np.uint64(32)) == 0).sum(axis=1) + ((apart & low) == 0).sum(axis=1)
-            fit = (equal >= LEAST_EQUAL) & (den * np.minimum(size[0][i], size[1]) >= num * np.maximum(size[0][i], size[1]))
+        size = np.array([len(s) for _, _, s in two])
+        every, owner = np.concatenate([s for _, _, s in two]), np.repeat(np.arange(len(two)), size)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        out = []
+        for i, (rep, of, own) in enumerate(one):
+            both = _shared(own, every, owner, len(two))
+            fit = den * both >= num * (len(own) + size - both)
             if not sides[1]:
                 fit[: i + 1] = False
-            for j in sorted(np.flatnonzero(fit), key=lambda j: -equal[j]):
-                s, t = root(r[3]), root(two[j][3])
+            for j in np.flatnonzero(fit).tolist():
+                s, t = root(of), root(two[j][1])
                 if s != t:
-                    x, y = own(r), own(two[j])
-                    both = np.intersect1d(x, y, assume_unique=True).size
-                    if den * both >= num * (len(x) + len(y) - both):
-                        to[max(s, t)] = min(s, t)
-                        out.append((r[2], two[j][2]))
+                    to[max(s, t)] = min(s, t)
+                    out.append((rep, two[j][0]))
         return pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], schema=schema)
 
     def run(batches):
-        now, rows = None, []
+        now, sides = None, ([], [])
         for batch in batches:
-            for r in zip(*[batch.column(i).to_pylist() for i in range(6)], batch.column(6).cast(pa.binary()), strict=True):
-                if r[0] != now:
-                    if rows:
-                        yield links(rows)
-                    now, rows = r[0], []
-                rows.append(r)
-        if rows:
-            yield links(rows)
+            for tile, side, rep, of, text in zip(*[batch.column(i).to_pylist() for i in range(4)], batch.column(4).cast(pa.binary()), strict=True):
+                if tile != now:
+                    if sides[0]:
+                        yield links(sides)
+                    now, sides = tile, ([], [])
+                sides[side].append((rep, of, shingle_set(text.as_py(), k)))
+        if sides[0]:
+            yield links(sides)
 
     return run
 
 
-def family_links(live: DataFrame, facts: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links between components of the nodes in live (key, rep, root), whose buckets are large.
+def family_links(live: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links between components of the nodes in live (key, rep, root, low), whose buckets are large; low is the smallest
+    node of a bucket.
 
     A family is what large buckets join. Its nodes are grouped by size (a link's sizes are in neighbouring groups) and
-    by whether they are in its main component, and groups are cut into blocks; two blocks make a tile, but for those
-    that are in the main component both.
+    by whether they are in its main component, and groups are cut into blocks of about TILE shingles; two blocks make a
+    tile, but for those that are in the main component both.
     """
-    stars = live.groupBy("key").agg(F.min("rep").alias("b"))
-    family = components(live.join(stars, "key").select(F.col("rep").alias("a"), "b"), "families")
-    family = family.select("node", F.col("root").alias("of"))
+    family = components(live.select(F.col("rep").alias("a"), F.col("low").alias("b")), "families").select("node", F.col("root").alias("of"))
     nodes = live.select("rep", "root").distinct().join(family, F.col("rep") == F.col("node"), "left").select("rep", "root", F.coalesce("of", "rep").alias("family"))
-    nodes = nodes.join(facts, "rep").withColumn("size", F.floor(F.log("n") / float(np.log(den / num))).cast("int"))
+    nodes = nodes.join(sizes, "rep").withColumn("size", F.floor(F.log("n") / float(np.log(den / num))).cast("int"))
     main = nodes.groupBy("family", "root").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
     nodes = written(nodes.join(main, "family").withColumn("group", 2 * F.col("size") + (F.col("root") == F.col("main")).cast("int")).drop("main", "size"), "family")
-    groups = nodes.groupBy("family", "group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    groups = nodes.groupBy("family", "group").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("blocks"))
     other = groups.select("family", F.col("group").alias("with"), F.col("blocks").alias("blocks_b"))
     near = (F.abs(F.floor(F.col("group") / 2) - F.floor(F.col("with") / 2)) <= 1) & ~((F.col("group") % 2 == 1) & (F.col("with") % 2 == 1))
     meets = groups.join(other, "family").where(near)
@@ -238,7 +236,7 @@ def family_links(live: DataFrame, facts: DataFrame, texts: DataFrame, k: int, nu
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("block_b", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1)))
     here, there = F.struct("group", "block"), F.struct(F.col("with").alias("group"), F.col("block_b").alias("block"))
     rows = rows.withColumn("tile", F.xxhash64("family", F.least(here, there), F.greatest(here, there))).withColumn("side", (here > there).cast("int"))
-    rows = rows.repartition("tile").sortWithinPartitions("tile").select("tile", "side", "rep", "root", "n", "sig", "text")
+    rows = rows.repartition("tile").sortWithinPartitions("tile").select("tile", "side", "rep", "root", "text")
     return rows.mapInArrow(_tile(k, num, den), "a long, b long")
 
 
@@ -248,13 +246,23 @@ def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int = 100, collections: int = 12, rounds: int = 2) -> DataFrame:
+def _starred(links: DataFrame) -> DataFrame:
+    """(node, root) of linked nodes: the smallest neighbour's smallest neighbour. Nodes with one root are in one
+    component; it is for components() to see that those of one component have one root."""
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select("b", "a"))
+    near = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("root"))
+    far = near.select(F.col("node").alias("root"), F.col("root").alias("far"))
+    return near.join(far, "root", "left").select("node", F.coalesce("far", "root").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int = 100, collections: int = 12, least_equal: int = 0) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text; other columns are ignored).
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. Null and empty texts, and those without words,
     have an empty set, n_shingles 0, and are their own component. Rows with equal sets are linked, repeated rows
     included; a row with a null doc_id gets the component of its set's other rows, or null, and kept true. An empty
-    table gives an empty result.
+    table gives an empty result. With least_equal above 0, pairs of small buckets with fewer equal ones of the single
+    minhashes are not compared (of 24, 10 would lose 4e-5 of the pairs at similarity 0.8).
     """
     with_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -264,46 +272,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
     placed = nodes.select("rep", F.posexplode(_tables(collections)).alias("t", "key"))
 
     # buckets with more than one node; most have one
-    shared = placed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
-    live = written(placed.join(shared, "key"), "buckets")
-    texts = written(_of(docs, live.select(F.col("rep").alias("doc_id")).distinct()), "texts")
-    facts = nodes.select("rep", "n", "sig")
-    pairs = live.where("rep > low").groupBy("rep").agg(F.min("low").alias("b")).select(F.col("rep").alias("a"), "b")
-    tested = links = roots = None
-    for turn in range(rounds):
-        pairs = written(pairs, "pairs")
-        found = written(confirmed(pairs, texts, shingle, num, den), "links")
-        tested, links = (tested.union(pairs), links.union(found)) if turn else (pairs, found)
-        roots = components(links, "stars")
-        live = live.select("key", "t", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", "t", "rep", F.coalesce("root", "rep").alias("root"))
-        hubs = live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("root", F.xxhash64("rep", F.lit(turn)), "rep")).alias("hub")).where("low < high")
-        live = written(live.join(hubs.select("key", F.col("hub.root").alias("hub_root"), F.col("hub.rep").alias("hub_rep")), "key"), "buckets")
-        if live.isEmpty():
-            break
-        possible = (den * F.least("n", "n_b") >= num * F.greatest("n", "n_b")) & (_equal("sig", "sig_b") >= LEAST_EQUAL)
-        last = turn == rounds - 1
-        if last:
-            live = live.select("key", "t", "rep", "root")
-            counted = live.join(live.groupBy("key").agg(F.count("*").alias("c")), "key")
-            side = counted.where(F.col("c") <= SMALL).join(facts, "rep").select("key", "t", "rep", "root", "n", "sig")
-            other = side.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "root", "n", "sig")])
-            pairs = side.join(other, "key").where((F.col("root") > F.col("root_b")) & possible & (F.col("t") == _first_table("sig", "sig_b", collections)))
-            pairs = pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b"))
-        else:
-            pairs = live.where("root <> hub_root").select(F.col("rep").alias("a"), F.col("hub_rep").alias("b")).distinct()
-            pairs = pairs.join(facts, F.col("a") == F.col("rep")).drop("rep")
-            pairs = pairs.join(facts.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b").where(possible)
-        pairs = pairs.join(tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-        if last:
-            found = confirmed(written(pairs, "pairs"), texts, shingle, num, den)
-            large = written(counted.where(F.col("c") > SMALL).select("key", "rep", "root"), "buckets")
-            if not large.isEmpty():
-                found = found.union(family_links(large, facts, texts, shingle, num, den))
-            roots = components(links.union(found), "stars")
-            break
-        # of the hubs that share a bucket with a node, the one that is most alike
-        best = pairs.withColumn("equal", _equal("sig", "sig_b")).groupBy("a").agg(F.max(F.struct("equal", F.xxhash64("a", "b"), "b")).alias("best"))
-        pairs = best.select("a", F.col("best.b").alias("b"))
+    names = [f"hub{i}" for i in range(len(HUBS))]
+    hubs = placed.groupBy("key").agg(F.max("rep").alias("high"), *[F.min(F.col("rep").bitwiseXOR(m)).alias(h) for h, m in zip(names, HUBS, strict=True)])
+    live = written(placed.join(hubs.where("hub0 < high").drop("high"), "key"), "buckets")
+    near = written(live.groupBy("rep").agg(*[F.min(h).bitwiseXOR(m).alias(h) for h, m in zip(names, HUBS, strict=True)]), "hubs")
+    texts = written(_of(docs, near.select(F.col("rep").alias("doc_id"))), "texts")
+    pairs = near.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array(*names))).alias("b")).where("a <> b")
+    links = written(confirmed(pairs, texts, shingle, num, den), "links")
+
+    roots = _starred(links)
+    live = live.select("key", "t", "rep", F.col("hub0").alias("low")).join(roots, F.col("rep") == F.col("node"), "left").select("key", "t", "rep", "low", F.coalesce("root", "rep").alias("root"))
+    mixed = live.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("c")).where("least < most")
+    live = written(live.join(mixed.select("key", "c"), "key"), "buckets")
+    side = live.where(F.col("c") <= SMALL).join(nodes.select("rep", "n", "sig"), "rep").select("key", "t", "rep", "root", "n", "sig")
+    other = side.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "root", "n", "sig")])
+    pairs = side.join(other, "key").where((F.col("root") > F.col("root_b")) & (den * F.least("n", "n_b") >= num * F.greatest("n", "n_b")) & (F.col("t") == _first_table("sig", "sig_b", collections)))
+    if least_equal:
+        pairs = pairs.where(_equal("sig", "sig_b") >= least_equal)
+    pairs = written(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")), "pairs")
+    found = confirmed(pairs, texts, shingle, num, den)
+    large = live.where(F.col("c") > SMALL).select("key", "rep", "root", "low")
+    if not large.isEmpty():
+        found = found.union(family_links(large, nodes.select("rep", "n"), texts, shingle, num, den))
+    roots = components(links.union(found), "stars")
     members = nodes.select("s1", "s2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", "n", "s1", "s2").join(members, ["s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
@@ -311,9 +302,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
 
 
 def kept_one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, one where a kept row is repeated; rows without doc_id all stay."""
-    found = near_duplicates(docs, **how).where("doc_id is not null")
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """The rows of docs that near_duplicates() keeps, one where a kept row is repeated; rows without doc_id all stay.
+
+    Null and empty texts are no copies of anything and stay, repeated rows of one doc_id aside; docs keeps its columns,
+    whatever they are called; an empty table gives an empty result."""
+    found = near_duplicates(docs, **how).where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    found = written(found.where("not kept or n > 1"), "copies")
+    gone, again = found.where(~F.col("kept")).select("doc_id"), found.where("kept").select("doc_id")
     kept = matching(docs, gone, ["doc_id"], "left_anti")
+    if again.isEmpty():
+        return kept
     return matching(kept, again, ["doc_id"], "left_anti").unionByName(matching(kept, again, ["doc_id"], "left_semi").dropDuplicates(["doc_id"]))
