@@ -124,9 +124,10 @@ def monotone_path(spark, sf_dir):
 
 
 def _overrides(spark, sf_dir):
-    """Every fourth conversation's first turn is reviewed: its first two segments."""
+    """Every fourth conversation's first turn is reviewed: its first two segments, or what there is of them."""
     b = _blocks(spark, sf_dir).where("pos = 1 and cast(session as int) % 4 = 0")
-    return b.select("session", "block_id", F.lit(5.0).alias("start"), F.lit(10.0).alias("end"), F.lit("session_video").alias("time_domain"), F.lit(None).cast("string").alias("precision"), F.lit("reader").alias("reviewer"), F.lit("checked").alias("note"))
+    b = b.join(_segments(spark, sf_dir).groupBy("session").agg(F.max("end").alias("duration")), "session")
+    return b.select("session", "block_id", F.lit(5.0).alias("start"), F.least(F.lit(10.0), "duration").alias("end"), F.lit("session_video").alias("time_domain"), F.lit(None).cast("string").alias("precision"), F.lit("reader").alias("reviewer"), F.lit("checked").alias("note"))
 
 
 def _aligned(spark, sf_dir):
