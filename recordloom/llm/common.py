@@ -65,6 +65,12 @@ def _forest(batches):
     yield stars(edges)
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(a, m): the smallest b of each a. It is grouped by another name for a, so that a join on a deals both sides anew,
+    which is what lets Spark split the many edges of a hub among tasks."""
+    return edges.groupBy(F.col("a").bitwiseXOR(-1).alias("x")).agg(F.min("b").alias("m")).select(F.col("x").bitwiseXOR(-1).alias("a"), "m")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for every node of edges (a, b) but the roots: root is the smallest node that can be reached.
 
@@ -76,10 +82,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     edges = written(edges, name)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = _least(both).select("a", F.least("a", "m").alias("m"))
         # large star: the larger neighbours of a node go to the smallest of its neighbourhood
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = _least(large)
         # small star: the smaller neighbours of a node, and the node, go to the smallest of them
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(small.union(low.select("a", F.col("m").alias("b"))).distinct(), name)
