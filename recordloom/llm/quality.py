@@ -1,9 +1,8 @@
 """Quality rules: figures of each text, and cross-document line frequency.
 
-Lines are normalised and hashed; for every host the distinct documents of a line are counted. A line above the limit,
-whose surroundings differ from document to document, is boilerplate and is removed; a document of which too little is
-left is rejected. Lines that come with the same neighbours again and again belong to copies, which are for the
-de-duplication to deal with: rejecting all of them here would lose their text altogether.
+Lines are normalised and hashed; for every host the distinct documents (texts) of a line are counted. Every line above
+the limit is boilerplate and is removed; a document of which too little is left is rejected. Copies of one text are one
+document, so that they do not make boilerplate of each other's lines.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ _NORMAL = LOWER.translate(bytes(48 if 48 <= b <= 57 else b for b in range(256)))
 _POLY = np.uint64(0x9E3779B97F4A7C15)
 
 _FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("h", pa.int64()), *[(c, pa.int64()) for c in _FIGURES], ("lines", pa.list_(pa.struct([("line", pa.int64()), ("around", pa.int64()), ("words", pa.int64())])))])
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("h", pa.int64()), *[(c, pa.int64()) for c in _FIGURES], ("lines", pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())])))])
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -63,23 +62,18 @@ def without_lines(text: bytes, gone: set[int]) -> bytes:
 
 
 def figures(text: bytes) -> tuple[list[int], list[dict]]:
-    """The figures of a text, and its distinct normalised lines with their words and a hash of their neighbours."""
+    """The figures of a text, and its distinct normalised lines with their words."""
     words = text.split()
     chars = len(text.translate(None, _TAILS + _SPACES))
-    seen, repeats, lines = set(), 0, []
+    seen, repeats, lines = set(), 0, {}
     for line in text.split(b"\n"):
         parts = line.translate(_NORMAL).split()
         if parts:
             repeats += line in seen
             seen.add(line)
-            lines.append((xxhash.xxh3_64_intdigest(b" ".join(parts)), len(parts)))
-    found: dict[int, list[int]] = {}
-    for i, (h, n) in enumerate(lines):
-        if h in found:
-            found[h][1] += n
-        else:
-            found[h] = [hash((lines[i - 1][0] if i else 0, lines[i + 1][0] if i + 1 < len(lines) else 0)), n]
-    return [len(words), chars, len(text) - len(text.translate(None, _SYMBOLS)), repeats, repeated_words(words)], [{"line": _signed(h), "around": around, "words": n} for h, (around, n) in found.items()]
+            h = xxhash.xxh3_64_intdigest(b" ".join(parts))
+            lines[h] = lines.get(h, 0) + len(parts)
+    return [len(words), chars, len(text) - len(text.translate(None, _SYMBOLS)), repeats, repeated_words(words)], [{"line": _signed(h), "words": n} for h, n in lines.items()]
 
 
 def _measure(batches):
@@ -97,19 +91,18 @@ def _of_lines(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys) if few else keys, ["host", "line"])
 
 
-def _judged(docs: DataFrame, least_docs: int = 10, most_share: float = 0.005, least_varied: float = 0.5, least_left: float = 0.3, least_words: int = 50) -> DataFrame:
+def _judged(docs: DataFrame, least_docs: int = 10, most_share: float = 0.005, least_left: float = 0.3, least_words: int = 50) -> DataFrame:
     """quality() with removed_lines, the hashes of the lines that are removed, or null."""
     with_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, source string, h long, " + ", ".join(f"{c} long" for c in _FIGURES) + ", lines array<struct<line: long, around: long, words: long>>"
+    schema = "doc_id long, source string, h long, " + ", ".join(f"{c} long" for c in _FIGURES) + ", lines array<struct<line: long, words: long>>"
     base = docs.mapInArrow(_measure, schema).withColumn("host", F.xxhash64("source")).withColumn("row", F.monotonically_increasing_id())
     base = written(base, "figures")
-    lines = base.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.*")
-    hosts = base.groupBy("host").agg((F.count("*") * most_share).alias("most"))
-    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
-    often = written(often.join(hosts, "host").where("n > most").select("host", "line", "n"), "lines")
-    places = _of_lines(lines, often).groupBy("host", "line", "around", "n").count().groupBy("host", "line", "n").agg(F.count("*").alias("varied"))
-    removed = written(places.where(F.col("varied") >= least_varied * F.col("n")).select("host", "line"), "lines")
+    lines = base.select("row", "host", "h", F.explode("lines").alias("x")).select("row", "host", "h", "x.*")
+    hosts = base.groupBy("host").agg((F.count_distinct("h") * most_share).alias("most"))
+    # texts are counted by (host, line, text) first, so that a line of very many documents is no task of its own
+    often = lines.groupBy("host", "line").agg(F.count_distinct("h").alias("n")).where(F.col("n") > least_docs)
+    removed = written(often.join(hosts, "host").where("n > most").select("host", "line"), "lines")
     lost = _of_lines(lines, removed).groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed_lines"))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words") >= least_left * F.col("n_words")
@@ -120,10 +113,10 @@ def _judged(docs: DataFrame, least_docs: int = 10, most_share: float = 0.005, le
 def quality(docs: DataFrame, **how) -> DataFrame:
     """For every row of docs (doc_id, source, text): its figures, base_failed, kept, removed_words, source and h, the text's hash.
 
-    A line of a host (source) is removed if more documents have it than least_docs and than most_share of the host's
-    documents, and if at least least_varied of them have it between other lines. A document is rejected by the base
-    rules, or if removed lines leave less than least_left of its words. Null texts are empty, and fail; a null source
-    is a host of its own; repeated rows stand for themselves; an empty table gives an empty result.
+    A line of a host (source) is removed if more distinct texts have it than least_docs and than most_share of the
+    host's texts. A document is rejected by the base rules, or if removed lines leave less than least_left of its words.
+    Null texts are empty, and fail; a null source is a host of its own; repeated rows stand for themselves, and are one
+    text to the counts; an empty table gives an empty result.
     """
     return _judged(docs, **how).drop("removed_lines")
 
@@ -131,11 +124,13 @@ def quality(docs: DataFrame, **how) -> DataFrame:
 def kept_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that quality() keeps, without the lines it removes; equal rows stay or go together.
 
-    n_chars, if docs has it, is counted anew where lines are removed."""
-    on = ["doc_id", "source", "__text"]
-    judged = _judged(docs, **how).where(~F.col("kept") | F.col("removed_lines").isNotNull()).withColumnRenamed("h", "__text")
+    n_chars, if docs has it, is counted anew where lines are removed. Null and empty texts go, as they fail; nulls in
+    other columns are values like any other; docs keeps its columns, whatever they are called; an empty table gives an
+    empty result."""
+    on = ["doc_id", "source", "__qtext"]
+    judged = _judged(docs, **how).where(~F.col("kept") | F.col("removed_lines").isNotNull()).withColumnRenamed("h", "__qtext")
     judged = written(judged.groupBy(*on).agg(F.min("kept").alias("kept"), F.first("removed_lines").alias("__gone")), "judged")
-    keyed = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
+    keyed = docs.withColumn("__qtext", F.xxhash64(F.col("text").cast("string")))
     left = matching(keyed, judged.where(~F.col("kept")), on, "left_anti")
     cut = judged.where("kept").select(*[F.col(c).alias(f"__{c}") for c in on], "__gone")
     # a document has a line or a few of these

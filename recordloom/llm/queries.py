@@ -27,7 +27,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixture import mixture
 
-    return mixture(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixture(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "place")
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,11 +111,10 @@ raw AS (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM d), ls0 AS
 ls AS (SELECT doc_id, source, line, i, {_WORDS.format("regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g')")} AS ws FROM ls0),
 lines AS (SELECT doc_id, source, line, i, array_to_string(ws, ' ') AS norm, len(ws) AS n FROM ls WHERE len(ws) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
-near AS (SELECT *, coalesce(lag(norm) OVER (PARTITION BY doc_id ORDER BY i), '') AS before, coalesce(lead(norm) OVER (PARTITION BY doc_id ORDER BY i), '') AS after FROM lines),
-own AS (SELECT doc_id, source, norm, sum(n) AS n, arg_min(before, i) AS before, arg_min(after, i) AS after FROM near GROUP BY 1, 2, 3),
-hosts AS (SELECT source, count(*) * 0.005 AS most FROM d GROUP BY 1),
-often AS (SELECT o.source, norm, count(*) AS docs, count(DISTINCT struct_pack(b := before, a := after)) AS varied FROM own o GROUP BY 1, 2),
-gone AS (SELECT f.source, norm FROM often f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE docs > 10 AND docs > most AND varied >= 0.5 * docs),
+own AS (SELECT doc_id, source, norm, sum(n) AS n FROM lines GROUP BY 1, 2, 3),
+hosts AS (SELECT source, count(DISTINCT text) * 0.005 AS most FROM d GROUP BY 1),
+often AS (SELECT o.source, norm, count(DISTINCT d.text) AS docs FROM own o JOIN d ON o.doc_id = d.doc_id GROUP BY 1, 2),
+gone AS (SELECT f.source, norm FROM often f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE docs > 10 AND docs > most),
 lost AS (SELECT doc_id, sum(n) AS n FROM own o JOIN gone g ON o.source IS NOT DISTINCT FROM g.source AND o.norm = g.norm GROUP BY doc_id),
 f AS (SELECT d.doc_id, len(w.ws) AS n_words, length(d.text) - length(regexp_replace(d.text, '[^\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS removed_words
   FROM d JOIN w ON d.doc_id = w.doc_id LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN dup ON d.doc_id = dup.doc_id LEFT JOIN lost ON d.doc_id = lost.doc_id),
