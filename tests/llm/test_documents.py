@@ -100,16 +100,19 @@ def test_quality(odd, odd_docs, crowded, nothing):
 
 
 def test_boilerplate_goes_and_copies_stay(spark):
-    """A line between other lines is boilerplate; one that comes with the same neighbours is a copy's."""
+    """A line of many texts is boilerplate wherever it stands; copies of one text are one document to the counts."""
     spell = lambda n: "".join(chr(97 + int(c)) for c in str(n))
     prose = lambda i, n: "\n".join(" ".join(f"t{spell(i)}x{spell(j)}y{spell(k)}" for k in range(20)) for j in range(n))
     bar = " ".join(f"menu{spell(k)}" for k in range(30))
+    foot, feet = (" ".join(f"{w}{spell(k)}" for k in range(12)) for w in ("foot", "feet"))
     rows = [(i, "h", f"{prose(i, 2)}\n{bar}\n{prose(i + 10_000, 2)}") for i in range(40)]
     rows += [(100 + i, "h", f"first{spell(i)}\n" + "\n".join([bar] * 6)) for i in range(15)]
     rows += [(200 + i, "h", prose(777, 6)) for i in range(40)]
+    rows += [(300 + i, "h", f"{prose(300 + i, 3)}\n{foot}\n{feet}") for i in range(30)]
     got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
     assert all(got[i]["removed_words"] == 30 and got[i]["kept"] for i in range(40))
     assert not any(got[100 + i]["kept"] for i in range(15))
+    assert all(got[300 + i]["kept"] and got[300 + i]["removed_words"] == 24 for i in range(30))
     assert all(got[200 + i]["kept"] and got[200 + i]["removed_words"] == 0 for i in range(40))
 
 
@@ -126,33 +129,82 @@ def test_kept_documents_are_without_boilerplate(spark):
         assert (source, text, n_chars) == ("other" if i == 100 else "h" if i % 2 else None, want, 8 if i == 100 else len(want))
 
 
+def shares(source_sizes, weights=(3, 1, 2), share=1.5, most=2.0):
+    """Targets by handing out the excess of full sources again and again."""
+    names = sorted(source_sizes, key=lambda s: (s is None, [ord(c) for c in s or ""]))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    full, left = {}, share * sum(source_sizes.values())
+    while True:
+        open_ = [s for s in names if s not in full]
+        level = (left - sum(full.values())) / sum(weight[s] for s in open_) if open_ else 0
+        over = [s for s in open_ if weight[s] * level > most * source_sizes[s]]
+        if not over:
+            return full | {s: weight[s] * level for s in open_}
+        full |= {s: most * source_sizes[s] for s in over}
+
+
 def test_mixture(odd, odd_docs, crowded, nothing):
     got = mixture.mixture(odd, block=64).collect()
     assert len(got) == len(odd_docs)
-    total = sum(r["size"] for r in got)
-    by = {r["source"]: r for r in got}
-    taken = collections.Counter()
+    size, taken = collections.Counter(), collections.Counter()
     for r in got:
+        size[r["source"]] += r["size"]
         taken[r["source"]] += r["taken"]
-        assert r["taken"] == r["first"] + r["second"] <= 2 * r["size"]
-    assert sum(r["target"] for r in by.values()) == pytest.approx(1.5 * total)
-    assert all(abs(taken[s] - r["target"]) <= 1 and r["target"] <= 2 * r["source_size"] for s, r in by.items())
-    strip = lambda rows: sorted(((r["doc_id"], r["h"], r["taken"]) for r in rows), key=repr)
-    assert strip(mixture.mixture(odd, block=64).collect()) == strip(got) == strip(mixture.mixture(crowded, block=64).collect())
+        assert r["taken"] == r["first"] + r["second"] <= 2 * r["size"] and (r["place"] is None) == (r["taken"] == 0)
+    want = shares(size)
+    assert {r["source"]: r["source_size"] for r in got} == dict(size)
+    assert all(r["target"] == pytest.approx(want[r["source"]]) for r in got) and all(abs(taken[s] - want[s]) <= 1 for s in size)
+    strip = lambda rows: sorted(((r["doc_id"], r["size"], r["taken"], r["place"]) for r in rows), key=repr)
+    assert strip(mixture.mixture(odd, block=64).collect()) == strip(got) == strip(mixture.mixture(crowded.withColumn("target", F.lit(1)).withColumn("place", F.lit(2)), block=64).collect())
     assert mixture.mixture(nothing).count() == 0
+
+
+def test_order_is_by_the_points(odd):
+    """Another sequence of points takes the same words in another order."""
+    own = mixture.mixture(odd, block=64).collect()
+    other = mixture.mixture(odd, block=64, point=lambda cell, bits: cell).collect()
+    taken = lambda rows: collections.Counter((r["doc_id"], r["taken"]) for r in rows)
+    order = lambda rows: [r["doc_id"] for r in sorted((r for r in rows if r["place"] is not None), key=lambda r: r["place"])]
+    assert taken(own) == taken(other) and order(own) != order(other)
+    # cell after cell takes source after source; van der Corput points change between them
+    changes = lambda rows: sum(a != b for a, b in zip(*[[by[i] for i in order(rows)][n:] for n in (0, 1)], strict=False))
+    by = {r["doc_id"]: r["source"] for r in own}
+    assert changes(own) > 3 * changes(other)
+
+
+def test_mixed(spark, odd, crowded, nothing):
+    mix = mixture.mixture(odd, block=64).collect()
     out = mixture.mixed(odd, block=64)
-    assert out.columns == odd.columns
-    assert sum(len(WORD.findall(r["text"] or "")) for r in out.collect()) == sum(r["taken"] for r in got)
+    rows = out.collect()
+    assert out.columns == odd.columns and all(r["text"] for r in rows)
+    words = collections.Counter()
+    for r in rows:
+        words[r["doc_id"]] += len(WORD.findall(r["text"]))
+    assert words == collections.Counter({i: n for i, n in ((i, sum(r["taken"] for r in mix if r["doc_id"] == i)) for i in {r["doc_id"] for r in mix}) if n})
+    # rows come in the order of their first appearances' places
+    place = {r["doc_id"]: r["place"] for r in mix if r["place"] is not None}
+    first = list(dict.fromkeys(r["doc_id"] for r in rows))
+    assert [place[i] for i in first] == sorted(place[i] for i in first)
+    wide = crowded
+    for c in ("id", "own", "times", "target", "place", "part", "turn", "low", "high", "docs"):
+        wide = wide.withColumn(c, F.lit(3))
+    assert mixture.mixed(wide, block=64).columns == wide.columns
+    assert same_rows(mixture.mixed(wide, block=64).select(*odd.columns), out) and mixture.mixed(nothing).count() == 0
+    # copies of one row by id, text and source keep what else they have
+    again = spark.createDataFrame([(1, "a b c", "en", "s", 5), (1, "a b c", "de", "s", 6)], odd.schema)
+    assert {(r["lang"], r["n_chars"]) for r in mixture.mixed(again, share=2.0).collect()} == {("en", 5), ("de", 6)}
 
 
 def test_schedule_keeps_near_the_weights(spark):
-    goals = spark.createDataFrame([(0, 3000.0), (1, 1000.0), (2, 2000.0), (3, 0.0)], "sid int, target double")
-    slots = sorted(mixture.schedule(goals, 1).collect())
-    assert collections.Counter(r["sid"] for r in slots) == {0: 3000, 1: 1000, 2: 2000}
-    assert all(len({r["rank"] for r in slots if r["sid"] == s}) == n for s, n in ((0, 3000), (1, 1000)))
-    for n in (60, 600, 5000):
+    goals = spark.createDataFrame([(0, 3000.0), (1, 1000.0), (2, 2000.0), (3, 0.0), (4, 7.0)], "sid int, target double")
+    slots, places = mixture.schedule(goals, 1)
+    slots = sorted(slots.collect())
+    assert places == 8192 and len({r["place"] for r in slots}) == len(slots)
+    for s, n in ((0, 3000), (1, 1000), (2, 2000), (4, 7)):
+        assert [r["rank"] for r in slots if r["sid"] == s] == list(range(n))
+    for n in (60, 600, 3000, 5000):
         part = collections.Counter(r["sid"] for r in slots[:n])
-        assert abs(part[0] - n / 2) <= 6 and abs(part[1] - n / 6) <= 6
+        assert abs(part[0] - n * 3000 / 6007) <= 8 and abs(part[1] - n * 1000 / 6007) <= 8
 
 
 def test_shards(odd, odd_docs, crowded, nothing):
