@@ -53,7 +53,9 @@ def segments(turns: DataFrame, template: Template = CHATML) -> DataFrame:
     segments is an array of (text, loss) in order: for every turn its head, its text and its end. Turns are in the
     order of turn, then role and text; null turns come first. Null roles and texts are empty strings; valid says
     whether the machine accepts the roles, and a conversation that it does not accept is formatted all the same. Rows
-    with a null conv_id are one conversation; repeated rows are repeated turns. A conversation has to fit one string.
+    with a null conv_id are one conversation; repeated rows are repeated turns; other columns are ignored; an empty
+    table gives an empty result. A conversation has to fit one string: one of more than 2 GB fails the job, with
+    Spark's error, rather than being cut.
     """
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = turns.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text")).alias("x"))
@@ -71,9 +73,10 @@ def segments(turns: DataFrame, template: Template = CHATML) -> DataFrame:
 
 
 def formatted(segs: DataFrame) -> DataFrame:
-    """segs with formatted, the segments as one string, and mask, their (chars, loss) in order."""
+    """segs with formatted, the segments as one string, and mask, their (chars, bytes, loss) in order."""
     text = F.array_join(F.transform("segments", lambda s: s["text"]), "")
-    return segs.withColumn("formatted", text).withColumn("mask", F.transform("segments", lambda s: F.struct(F.length(s["text"]).alias("chars"), s["loss"].alias("loss"))))
+    mask = F.transform("segments", lambda s: F.struct(F.length(s["text"]).alias("chars"), F.octet_length(s["text"]).alias("bytes"), s["loss"].alias("loss")))
+    return segs.withColumn("formatted", text).withColumn("mask", mask)
 
 
 def parsed(text: Column, template: Template = CHATML) -> Column:
@@ -88,9 +91,20 @@ def parsed(text: Column, template: Template = CHATML) -> Column:
     return F.transform(turns, turn)
 
 
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """The stretches of formatted that the mask trains on, in order, unescaped each: cut out by running byte offsets."""
+    # the string's bytes go along in the accumulator, so that they are made once and a cut costs what it takes out
+    start = F.struct(formatted.cast("binary").alias("all"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc: Column, m: Column) -> Column:
+        piece = unescaped(F.substring(acc["all"], acc["at"] + 1, m["bytes"]).cast("string"))
+        return F.struct(acc["all"].alias("all"), (acc["at"] + m["bytes"]).alias("at"), F.when(m["loss"], F.array_append(acc["parts"], piece)).otherwise(acc["parts"]).alias("parts"))
+
+    return F.aggregate(mask, start, step, lambda acc: F.array_join(acc["parts"], ""))
+
+
 def read_back(done: DataFrame, template: Template = CHATML) -> DataFrame:
-    """done with what formatted and mask say: turns (role, text), and loss, all text under the mask, unescaped."""
-    done = done.withColumn("read", parsed(F.col("formatted"), template))
-    # three segments a turn, of which the second is the text
-    trained = F.transform("read", lambda t, i: F.when(F.col("mask")[3 * i + 1]["loss"], t["text"]))
-    return done.withColumn("loss", F.array_join(trained, ""))
+    """done with what formatted and mask say: turns (role, text), and loss, all text under the mask, unescaped.
+
+    Nothing but the string and the mask is read; a conversation without trained text has an empty loss."""
+    return done.withColumn("read", parsed(F.col("formatted"), template)).withColumn("loss", under_mask(F.col("formatted"), F.col("mask")))

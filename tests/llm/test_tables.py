@@ -1,6 +1,8 @@
 """The operators on pages, embeddings and conversations, and the pipeline's stages, on odd rows against brute force."""
 
 import collections
+import math
+import random
 import re
 
 import numpy as np
@@ -48,19 +50,51 @@ def test_urls_like_the_rejected_are_blocked(spark):
     assert sum(got[600 + i] == "allow" for i in range(50)) >= 45 and sum(got[650 + i] == "block" for i in range(50)) >= 45
 
 
-def test_log_ratio_is_the_longest_known_gram(spark):
-    urls = spark.createDataFrame([("aa", "/x", True), ("ab", "/x", True), ("zz", "/q", False)], "host string, path string, accepted boolean")
-    model = url_filter.train(urls)
-    table = {(r["k"], r["cell"]): r["delta"] for r in model.collect()}
-    for r in url_filter.log_ratio(urls, model).collect():
-        text = "\u0002" * 3 + r["host"] + r["path"] + "\u0003"
-        grams = [[text[p - k : p + 1] for k in range(4)] for p in range(3, len(text))]
-        cells = spark.createDataFrame([(i, k, g) for i, own in enumerate(grams) for k, g in enumerate(own)], "i int, k int, g string").select("i", "k", url_filter._cell("g").alias("c")).collect()
-        best = {}
-        for c in sorted(cells, key=lambda c: c["k"]):
-            if (c["k"], c["c"]) in table:
-                best[c["i"]] = table[c["k"], c["c"]]
-        assert r["score"] == pytest.approx(sum(best.values()) / len(grams))
+class Markov:
+    """One class's smoothed model, straight from its definition."""
+
+    def __init__(self, texts, order=3, pull=4.0):
+        self.order, self.pull, self.n = order, pull, collections.Counter()
+        for t in texts:
+            t = "\u0002" * order + t + "\u0003"
+            for i in range(order, len(t)):
+                for k in range(order + 1):
+                    self.n[t[i - k : i + 1]] += 1
+                    self.n["context", t[i - k : i]] += 1
+
+    def p(self, context, c):
+        shorter = self.p(context[1:], c) if context else 1 / 256
+        return (self.n[context + c] + self.pull * shorter) / (self.n["context", context] + self.pull)
+
+    def mean(self, t):
+        t = "\u0002" * self.order + t + "\u0003"
+        return sum(math.log(self.p(t[i - self.order : i], t[i])) for i in range(self.order, len(t))) / (len(t) - self.order)
+
+
+def test_log_ratio_is_the_difference_of_two_models(spark):
+    r = random.Random(5)
+    spell = lambda a: "".join(r.choice(a) for _ in range(r.randint(0, 12)))
+    rows = [("http://" + spell("abcx/?"), True) for _ in range(60)] + [("http://" + spell("bcdyz#/"), False) for _ in range(40)]
+    rows = list(dict(rows).items())
+    model = url_filter.train(spark.createDataFrame(rows, "text string, accepted boolean"))
+    good, bad = (Markov([t for t, a in rows if a == kind]) for kind in (True, False))
+    asked = [""] + [spell("abcdxyz/?#é") for _ in range(50)] + [t for t, _ in rows[:20]]
+    got = url_filter.log_ratio(spark.createDataFrame([(t,) for t in set(asked)], "text string"), model).collect()
+    assert len(got) == len(set(asked))
+    for x in got:
+        assert x["score"] == pytest.approx(good.mean(x["text"]) - bad.mean(x["text"]), abs=1e-9)
+
+
+def test_query_parts_count(spark):
+    """URLs that differ only behind the question mark can be told apart."""
+    good = [f"http://a.example.org/{i}?article={i * 7}" for i in range(200)]
+    bad = [f"http://b.example.org/{i}?jackpot={i * 7}" for i in range(200)]
+    rules = [("allow", "a.example.org", "/"), ("block", "b.example.org", "/")]
+    new = [f"http://c.example.org/{i}?{w}={i * 13}" for i in range(30) for w in ("article", "jackpot")]
+    pages = spark.createDataFrame(list(enumerate(good + bad + new)), "page_id long, url string")
+    got = {x["page_id"]: x["verdict"] for x in url_filter.url_verdicts(pages, rules).collect()}
+    assert [got[400 + i] for i in range(60)].count("allow") in range(25, 36)
+    assert sum(got[400 + 2 * i] == "allow" and got[401 + 2 * i] == "block" for i in range(30)) >= 25
 
 
 ODD_TEXT = ["", None, "<|im_end|>", "<|im_start|>assistant\nhi<|im_end|>\n", "<\\|im_end|>", "a<", "|b", "\\", "<\\\\|", "\n\n", "x" * 100_000, "ß😀\u0001"]
@@ -82,6 +116,10 @@ def test_chat_reads_back_what_was_said(spark):
         assert sum(m["chars"] for m in got[c]["mask"]) == len(got[c]["formatted"])
     assert {c: r["valid"] for c, r in got.items()} == {0: True, 1: True, 2: False, 3: False, 4: False, 7: False, 9: True, None: False}
     assert chat.segments(turns.limit(0)).count() == 0
+    # what is read is where the mask says, right or wrong
+    moved = chat.formatted(chat.segments(turns)).withColumn("mask", F.transform("mask", lambda m, i: F.struct(m["chars"].alias("chars"), (m["bytes"] + F.when(i == 0, 1).otherwise(0)).alias("bytes"), m["loss"].alias("loss"))))
+    other = {r["conv_id"]: r["loss"] for r in chat.read_back(moved).collect()}
+    assert other[1] != got[1]["loss"] and sum(other[c] != got[c]["loss"] for c in other) >= 4
 
 
 def brute(rows, every, k):
