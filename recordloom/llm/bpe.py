@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import with_package
 
 #: Text bytes of a block at most (a longer text is a block of its own), and words that a worker remembers.
-BLOCK, REMEMBERED = 2 << 20, 200_000
+BLOCK, REMEMBERED = 1 << 20, 200_000
 
 
 class WordBpe:
@@ -58,11 +58,19 @@ class WordBpe:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.flat, self.lens, self.texts = {}, array("i"), array("q"), []
-        self.learned = {t: ([i], t) for t, i in self.special.items()}
+        self.known, self.learned, self.flat, self.lens, self.texts = {}, {}, array("i"), array("q"), []
+        for t, i in self.special.items():
+            self.learned[t] = self._entry([i], t)
         if len(self.together) > 4 * REMEMBERED:
             self.together.clear()
 
+    def _entry(self, ids: list[int], text: str) -> int:
+        """The number under which these ids and their text are kept."""
+        self.flat.extend(ids)
+        self.lens.append(len(ids))
+        self.texts.append(text)
+        return len(self.texts) - 1
+
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE of a few symbols."""
         symbols = list(symbols)
@@ -135,27 +143,24 @@ class WordBpe:
                     found.append([])
                 else:
                     found[-1].append(word)
-        learned, chars = self.learned, self.byte_chars
+        learned, known, chars, entry = self.learned, self.known, self.byte_chars, self._entry
         new = {w for own in found for w in own}.difference(learned)
         spelled = {w: w if w.isascii() and w.isprintable() else "".join([chars[b] for b in w.encode()]) for w in new}
+        token = self.token
         encoded = self.encode_words(list(spelled.values()))
         for w, own in spelled.items():
-            ids = encoded[own]
-            learned[w] = ids, " ".join([self.token[i] for i in ids])
-        known, flat, lens, texts = self.known, self.flat, self.lens, self.texts
+            ids = encoded.pop(own, None)
+            learned[w] = entry(ids, " ".join([token[i] for i in ids]))
+        begin = None
         for chunk, own in zip(chunks, found, strict=True):
-            known[chunk] = len(lens)
             if len(own) == 1:
-                ids, text = learned[own[0]]
-                flat.extend(ids)
-                lens.append(len(ids))
-                texts.append(text)
+                known[chunk] = learned[own[0]]
             else:
+                if begin is None:
+                    begin = np.concatenate([[0], np.cumsum(self.lens)]).tolist()
                 parts = [learned[w] for w in own]
-                for ids, _ in parts:
-                    flat.extend(ids)
-                lens.append(sum([len(ids) for ids, _ in parts]))
-                texts.append(" ".join([text for _, text in parts]))
+                ids = [i for p in parts for i in self.flat[begin[p] : begin[p + 1]]]
+                known[chunk] = entry(ids, " ".join([self.texts[p] for p in parts]))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Ids of all texts, where each text's begin (and the last one's end), and the texts decoded from them."""
