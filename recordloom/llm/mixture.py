@@ -18,6 +18,8 @@ from .common import WORD, written
 
 #: Cells by which slots meet sources, slots that are ranked together, and documents of a source that are summed up together, about.
 CELLS, CHUNK, PART = 4096, 1 << 16, 1 << 14
+#: Words of the mix in a partition.
+STRETCH = 1 << 21
 
 
 def _key(seed: int) -> Column:
@@ -133,9 +135,10 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     keyed = docs.withColumn("__mixkey", _key(seed)).withColumn("__which", F.row_number().over(Window.partitionBy("__mixkey").orderBy("doc_id")))
     # not an equality, which would have both sides dealt by it as well
     same = (F.col("__which") <= F.col("__copy")) & (F.col("__which") >= F.col("__copy"))
-    out = keyed.join(took, (F.col("__mixkey") == F.col("__key")) & same).withColumn("__turn", F.explode("__turns")).where("__turn.words > 0")
-    # places are even: each partition is an equal stretch of the schedule
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # texts are not sorted again for the join: what they meet is a short row each
+    out = keyed.join(took.hint("shuffle_hash"), (F.col("__mixkey") == F.col("__key")) & same).withColumn("__turn", F.explode("__turns")).where("__turn.words > 0")
+    # places are even: each partition is an equal stretch of the schedule, of STRETCH words at most
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), places * block // STRETCH)
     out = out.repartitionById(parts, F.expr(f"__turn.place * {parts} div {places}").cast("int")).sortWithinPartitions("__turn.place", "__turn.at")
     words = F.col("__turn.words")
     cut = F.regexp_substr("text", F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), words.cast("string"), F.lit("}+")))
