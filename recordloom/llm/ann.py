@@ -1,15 +1,17 @@
 """Nearest neighbours by inner product: a forest of random-projection trees, searched through one priority queue.
 
 Trees are grown on a bounded sample, every vector is routed down all of them, and a query opens the most promising
-leaves of the whole forest, best bound first. Each leaf's members are scored exactly, in double precision, block by
-block, and the best of all opened leaves are merged. Equal vectors are one class: a third of all rows with the same
-vector are one row in the leaves and one search.
+leaves of the whole forest, best bound first. How many is measured, not guessed: some queries are held against all
+vectors, and a query opens as many leaves as those needed to find the wanted share of their true neighbours. Each
+leaf's members are scored exactly, in double precision, and the best of all opened leaves are merged. Equal vectors
+are one class: a third of all rows with the same vector are one row in the leaves and one search.
 """
 
 from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,10 @@ from pyspark.sql import functions as F
 from ..session import with_package
 from .common import written
 
-#: Vectors that the trees are grown on at most, and classes or queries that a task scores at a time.
-SAMPLE, BLOCK = 1 << 15, 1024
-#: Queries whose answers a task holds.
-HELD = 20_000
+#: Vectors that the trees are grown on at most, classes that a tile holds about, queries that are searched or scored at a time.
+SAMPLE, BLOCK, ASKED = 1 << 15, 1024, 128
+#: Scores that a task holds before it keeps the best of each query.
+HELD = 2_000_000
 
 
 @dataclass
@@ -73,25 +75,50 @@ def grow(x: np.ndarray, leaf: int, r: np.random.RandomState) -> Tree:
     return Tree(np.array(normals).reshape(-1, x.shape[1]), np.array(offsets), np.array(children, np.int64).reshape(-1, 2))
 
 
+def opened(trees: list[Tree], margins: list[np.ndarray]):
+    """The leaves (tree, leaf) of the whole forest for one query, by the sum of squared margins on the wrong side; margins
+    has the query's signed distance from the split of every node of each tree."""
+    queue = [(0.0, n, 0 if len(t.normals) else -1) for n, t in enumerate(trees)]
+    heapq.heapify(queue)
+    while queue:
+        far_off, n, node = heapq.heappop(queue)
+        own, kids = margins[n], trees[n].children
+        while node >= 0:
+            margin = own[node]
+            near, far = kids[node, int(margin > 0)], kids[node, int(margin <= 0)]
+            heapq.heappush(queue, (far_off + margin * margin, n, int(far)))
+            node = int(near)
+        yield n, -node - 1
+
+
 def search(trees: list[Tree], x: np.ndarray, probes: int) -> list[list[tuple[int, int]]]:
-    """For every row the probes leaves, over all trees, with the least sum of squared margins on the wrong side."""
+    """The first probes leaves for every row."""
+    margins = [x @ t.normals.T - t.offsets for t in trees]
+    return [list(islice(opened(trees, [m[i] for m in margins]), probes)) for i in range(len(x))]
+
+
+def needed(trees: list[Tree], x: np.ndarray, near: list[np.ndarray], recall: float) -> int:
+    """How many leaves the rows of x have to open so that recall of all rows' neighbours, near, are in one of them."""
     margins = [x @ t.normals.T - t.offsets for t in trees]
-    out = []
-    for i in range(len(x)):
-        queue = [(0.0, n, 0 if len(t.normals) else -1) for n, t in enumerate(trees)]
-        heapq.heapify(queue)
-        found = []
-        while queue and len(found) < probes:
-            far_off, n, node = heapq.heappop(queue)
-            own, kids = margins[n][i], trees[n].children
-            while node >= 0:
-                margin = own[node]
-                near, far = kids[node, int(margin > 0)], kids[node, int(margin <= 0)]
-                heapq.heappush(queue, (far_off + margin * margin, n, int(far)))
-                node = int(near)
-            found.append((n, -node - 1))
-        out.append(found)
-    return out
+    places = []
+    for i, own in enumerate(near):
+        if not len(own):
+            continue
+        at: dict[tuple[int, int], list[int]] = {}
+        for n, t in enumerate(trees):
+            for j, leaf in enumerate(t.route(own).tolist()):
+                at.setdefault((n, leaf), []).append(j)
+        # the last few may be far off in all trees, and are left out
+        missing, enough = set(range(len(own))), int((1 - recall) * len(own) / 2)
+        for place, leaf in enumerate(opened(trees, [m[i] for m in margins]), 1):
+            hit = missing.intersection(at.get(leaf, ()))
+            places += [place] * len(hit)
+            missing -= hit
+            if len(missing) <= enough:
+                break
+        places += [1 << 62] * len(missing)
+    places.sort()
+    return places[max(int(np.ceil(recall * len(places))) - 1, 0)] if places else 1
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -119,12 +146,10 @@ def _open(shared):
     def run(batches):
         trees, most, probes = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                x = _matrix(part.column(1))
-                norm = np.linalg.norm(x, axis=1, keepdims=True)
-                leaves = search(trees, np.hstack([x / norm * most, np.zeros((len(x), 1))]), probes)
-                rows = np.repeat(np.arange(len(x)), [len(f) for f in leaves])
+            for at in range(0, batch.num_rows, ASKED):
+                part = batch.slice(at, ASKED)
+                leaves = search(trees, _asked(_matrix(part.column(1)), most), probes)
+                rows = np.repeat(np.arange(part.num_rows), [len(f) for f in leaves])
                 tree, leaf = np.array([y for f in leaves for y in f], np.int32).reshape(-1, 2).T
                 part = part.take(pa.array(rows))
                 yield pa.record_batch([pa.array(tree), pa.array(leaf), part.column(0), part.column(1)], names=["tree", "leaf", "class", "v"])
@@ -132,52 +157,113 @@ def _open(shared):
     return run
 
 
+def _asked(x: np.ndarray, most: float) -> np.ndarray:
+    """Queries as points of the trees' space: of the norm that all lifted vectors have."""
+    return np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True) * most, np.zeros((len(x), 1))])
+
+
+def _exact(asked: np.ndarray, own: list[int], k: int):
+    """Rows (class, v): the k best of a task for each of the queries asked, whose own classes are left out."""
+
+    def run(batches):
+        best = [([], [], []) for _ in own]
+        for batch in batches:
+            names, x = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+            for q, near in enumerate(asked @ x.T):
+                near = np.where(names == own[q], -np.inf, near)
+                pick = np.argsort(-near, kind="stable")[:k]
+                s, c, v = best[q]
+                s, c, v = np.concatenate([s, near[pick]]), np.concatenate([c, names[pick]]).astype(np.int64), [*v, *x[pick]]
+                pick = [i for i in np.argsort(-s, kind="stable")[:k] if s[i] > -np.inf]
+                best[q] = s[pick], c[pick], [v[i] for i in pick]
+        for q, (s, c, v) in enumerate(best):
+            yield pa.record_batch([pa.array([q] * len(s), pa.int32()), pa.array(s, pa.float64()), pa.array(c, pa.int64()), pa.array([r.tolist() for r in v], pa.list_(pa.float64()))], names=["q", "s", "class", "v"])
+
+    return run
+
+
+def _best_of(name: np.ndarray, worse: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each name, ties by id, without the ones that are there twice; worse is the negative score."""
+    order = np.lexsort((ids, worse, name))
+    name, worse, ids = name[order], worse[order], ids[order]
+    new = np.ones(len(name), bool)
+    new[1:] = (name[1:] != name[:-1]) | (worse[1:] != worse[:-1]) | (ids[1:] != ids[:-1])
+    name, worse, ids = name[new], worse[new], ids[new]
+    first = np.concatenate([[0], np.flatnonzero(name[1:] != name[:-1]) + 1]) if len(name) else np.empty(0, np.int64)
+    rank = np.arange(len(name)) - np.repeat(first, np.diff(np.append(first, len(name))))
+    return name[rank < k], worse[rank < k], ids[rank < k]
+
+
 def _best(k: int):
     """Rows (tile, is_query, class, v, ids), a tile's members before its queries: the k best members for each query.
 
-    A query's answers from several tiles of a task are merged; those of HELD queries are held at a time."""
+    A query's answers from the tiles of a task are merged; HELD scores are held at a time."""
     schema = pa.schema([("class", pa.int64()), ("found", pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())])))])
 
-    def answers(members, queries, held):
-        x = np.array([m[3] for m in members], np.float64)
-        asked = np.array([q[3] for q in queries], np.float64)
-        for row, q, near in zip(queries, asked, asked @ x.T, strict=True):
-            pick = np.arange(len(near))
-            if len(near) > k:
-                cut = np.partition(near, len(near) - k)[len(near) - k]
-                pick = np.flatnonzero(near >= cut - 1e-9 * abs(cut) - 1e-300)
-            # the same sum whatever else is in the block, so that a member scores alike in every tree
-            exact = (x[pick] * q).sum(axis=1).tolist()
-            rows = held.get(row[2], set())
-            held[row[2]] = set(sorted(rows.union((-s, d) for i, s in zip(pick.tolist(), exact, strict=True) for d in members[i][4]))[:k])
-
     def out(held):
-        found = [[{"s": s, "id": d} for s, d in rows] for rows in held.values()]
-        return pa.record_batch([pa.array(list(held), pa.int64()), pa.array(found, schema.field("found").type)], schema=schema)
+        name, worse, ids = _best_of(*map(np.concatenate, zip(*held, strict=True)), k)
+        first = np.concatenate([[0], np.flatnonzero(name[1:] != name[:-1]) + 1])
+        found = pa.StructArray.from_arrays([pa.array(worse), pa.array(ids)], names=["s", "id"])
+        return pa.record_batch([pa.array(name[first]), pa.ListArray.from_arrays(pa.array(np.append(first, len(name)), pa.int32()), found)], schema=schema)
+
+    def answers(x, start, many, flat, name, asked):
+        near = asked @ x.T
+        if near.shape[1] > k:
+            cut = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+            row, pick = np.nonzero(near >= cut - 1e-9 * np.abs(cut) - 1e-300)
+        else:
+            row, pick = np.divmod(np.arange(near.size), near.shape[1])
+        # the same sum whatever else is in the tile, so that a member scores alike in every tree
+        exact = (x[pick] * asked[row]).sum(axis=1)
+        times = many[pick]
+        at = np.repeat(start[pick] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+        return np.repeat(name[row], times), np.repeat(-exact, times), flat[at]
 
     def run(batches):
-        now, members, queries, held = None, [], [], {}
+        now, members, held, size = None, [], [], 0
         for batch in batches:
-            for r in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                if r[0] != now or (r[1] and len(queries) >= BLOCK):
-                    if members and queries:
-                        answers(members, queries, held)
-                    queries = []
-                    if r[0] != now:
-                        now, members = r[0], []
-                    if len(held) > HELD:
-                        yield out(held)
-                        held = {}
-                (queries if r[1] else members).append(r)
-        if members and queries:
-            answers(members, queries, held)
-        if held:
+            tile, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            name, x = batch.column(2).to_numpy(zero_copy_only=False), _matrix(batch.column(3))
+            many = batch.column(4).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, start = batch.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(many) - many
+            cuts = np.concatenate([[0], np.flatnonzero((tile[1:] != tile[:-1]) | (asks[1:] != asks[:-1])) + 1, [len(tile)]]) if len(tile) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if tile[a] != now:
+                    now, members = tile[a], []
+                if not asks[a]:
+                    members.append((x[a:b], many[a:b], flat[start[a] : start[b - 1] + many[b - 1]]))
+                elif members:
+                    if len(members) > 1:
+                        members = [tuple(map(np.concatenate, zip(*members, strict=True)))]
+                    own, times, ids = members[0]
+                    for q in range(a, b, BLOCK):
+                        held.append(answers(own, np.cumsum(times) - times, times, ids, name[q : min(q + BLOCK, b)], x[q : min(q + BLOCK, b)]))
+                        size += len(held[-1][0])
+                        if size > HELD:
+                            held = [_best_of(*map(np.concatenate, zip(*held, strict=True)), k)]
+                            size = len(held[0][0])
+                            if size > HELD // 2:
+                                yield out(held)
+                                held, size = [], 0
+        if size:
             yield out(held)
 
     return run
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 8, leaf: int = 128, share: float = 0.13, least: int = 24) -> DataFrame:
+def needed_probes(classes: DataFrame, asked: DataFrame, forest: list[Tree], most: float, k: int, recall: float, tried: int) -> int:
+    """needed() for tried of the queries asked: their exact neighbours are sought in every task, and merged by query."""
+    some = asked.orderBy("class").limit(tried).collect()
+    if not some:
+        return 1
+    x = np.array([r["v"] for r in some], np.float64)
+    found = classes.select("class", "v").mapInArrow(_exact(x, [r["class"] for r in some], k), "q int, s double, class long, v array<double>")
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "class"))).where(F.col("rank") <= k).select("q", "v").collect()
+    near = [_lifted(np.array([r["v"] for r in found if r["q"] == q], np.float64).reshape(-1, x.shape[1]), most) for q in range(len(some))]
+    return min(needed(forest, _asked(x, most), near, recall), sum(len(t.normals) + 1 for t in forest))
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 32, leaf: int = 32, recall: float = 0.94, tried: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every query, a row whose vec_id is divisible by every.
 
     vectors has vec_id and embedding; its other columns are ignored. Nearness is the inner product, in double
@@ -186,9 +272,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 8, le
     take no part; of rows with the same vec_id and vector one does, with different vectors all do. An empty table gives an empty result.
 
     Trees are grown on SAMPLE vectors at most, those with the smallest hashes; leaves hold leaf of them, so that with
-    more rows than SAMPLE a leaf holds more, and is scored in blocks. A query opens a share of all trees' leaves, and
-    least of them at least: as much as vectors without clusters, which have no near neighbours to speak of, need. Of a class of equal vectors the k + 1 smallest
-    ids can be in a result, and are all that is kept of it beside its queries.
+    more rows than SAMPLE a leaf holds more, and is scored in blocks. All queries open as many leaves as tried of them,
+    those with the smallest hashes, need to find recall of their k nearest vectors, which are sought exactly. Of a class
+    of equal vectors the k + 1 smallest ids can be in a result, and are all that is kept of it beside its queries.
     """
     spark = with_package(vectors.sparkSession)
     kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
@@ -211,11 +297,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 8, le
     most = float(np.sqrt(classes.agg(F.max(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, b: a + b * b))).first()[0]))
     r = np.random.RandomState(20260101)
     forest = [grow(_lifted(x, most), leaf, r) for _ in range(trees)]
-    probes = max(least, int(share * sum(len(t.normals) + 1 for t in forest)))
+    asked = classes.join(queries.select("class").distinct(), "class", "left_semi").select("class", "v")
+    probes = needed_probes(classes, asked, forest, most, k, recall, tried)
     shared = spark.sparkContext.broadcast((forest, most, probes))
     layout = f"tree int, leaf int, class long, v {kind}"
     placed = classes.select("class", "v").mapInArrow(_route(shared), layout)
-    asked = classes.join(queries.select("class").distinct(), "class", "left_semi").select("class", "v").mapInArrow(_open(shared), layout)
+    asked = asked.mapInArrow(_open(shared), layout)
     counts = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = placed.join(counts, ["tree", "leaf"]).join(classes.select("class", "ids"), "class")
     members = members.select("tree", "leaf", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("query"), "class", "v", "ids")
