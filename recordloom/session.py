@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: set[str] = set()
+
 
 def with_package(spark: SparkSession) -> SparkSession:
     """Python workers find this package where the driver has it; elsewhere, ship it by spark.submit.pyFiles."""
@@ -31,9 +33,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"/tmp/checkpoints/{os.getuid()}"
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables below shared_dir(), which goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/recordloom/{spark.sparkContext.applicationId}"
+    if path not in _made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _made.add(path)
+    return path
+
+
+def cleaned(spark: SparkSession) -> None:
+    """Deletes the tables that this application has written; results that were built on them can't be read any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made.discard(own_dir(spark))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, a lost executor costs no more than a reread."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/recordloom/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
