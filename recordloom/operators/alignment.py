@@ -50,8 +50,12 @@ def anchor_bounds(anchors: DataFrame, blocks: DataFrame, segments: DataFrame) ->
     """(session, interval, first_pos, past_pos, low, high): the blocks between two anchors (session, pos, start, end),
     and the segments that they may match. Fails where anchors are not in the order of their starts."""
     sizes = blocks.groupBy("session").agg(F.count("*").alias("blocks")).join(segments.groupBy("session").agg(F.count("*").alias("segments")), "session")
-    times = segments.select("session", F.col("start").alias("at"))
-    counts = anchors.join(times, "session", "left").groupBy("session", "pos", "start", "end").agg(F.count_if(F.col("at") <= F.col("start")).alias("until"), F.count_if(F.col("at") < F.col("end")).alias("after"))
+    # one pass over segments and anchors by time: an anchor's end comes before segments of that time, its start after them
+    event = lambda df, at, turn, pos: df.select("session", F.col(at).alias("at"), F.lit(turn).alias("turn"), pos.alias("pos"))
+    events = event(segments, "start", 0, F.lit(None).cast("int")).union(event(anchors, "start", 1, F.col("pos").cast("int"))).union(event(anchors, "end", -1, F.col("pos").cast("int")))
+    so_far = F.count(F.when(F.col("turn") == 0, 1)).over(Window.partitionBy("session").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0))
+    counts = events.withColumn("n", so_far).where("turn <> 0").groupBy("session", "pos").agg(F.max(F.when(F.col("turn") == 1, F.col("n"))).alias("until"), F.max(F.when(F.col("turn") == -1, F.col("n"))).alias("after"))
+    counts = anchors.select("session", "pos", "start", "end").join(counts, ["session", "pos"])
     w = Window.partitionBy("session").orderBy("pos")
     back = F.col("start") < F.lag("start").over(w)
     counts = counts.withColumn("until", F.when(back, F.raise_error(F.lit("manual override ranges are not monotonic in record order")).cast("long")).otherwise(F.col("until")))
@@ -160,7 +164,7 @@ def candidates(blocks: DataFrame, segments: DataFrame, bounds: DataFrame) -> Dat
     turns = turns.join(facts, ["session", "block"])
     rare = R.rare_tokens(words).join(turns.select("session", "block", "low", "high"), ["session", "block"])
     seeds = R.posting_votes(rare, R.postings(segments))
-    rows = R.scored(R.window_enum(seeds, segments, turns), turns).where((F.col("score") >= R.LEAST_SCORE) & (F.col("coverage") >= R.LEAST_COVERAGE))
+    rows = R.scored(R.window_enum(seeds, segments, turns), turns, R.LEAST_SCORE, R.LEAST_COVERAGE)
     return rows.join(turns.select("session", "block", "interval", "distinctive"), ["session", "block"])
 
 

@@ -72,33 +72,60 @@ def ahead(segments: DataFrame) -> DataFrame:
     return segments.select("session", "seg", F.collect_list(tokens(F.col("normalized_text"))).over(w).alias("ahead"))
 
 
+def _sizes_ahead(segments: DataFrame) -> DataFrame:
+    """(session, seg, upto): the numbers of tokens of a segment and of those after it, summed up, LONGEST of them."""
+    w = Window.partitionBy("session").orderBy("seg").rowsBetween(0, LONGEST - 1)
+    sizes = segments.select("session", "seg", F.collect_list(F.size(tokens(F.col("normalized_text")))).over(w).alias("sizes"))
+    upto = F.transform("sizes", lambda _, i: F.aggregate(F.slice("sizes", F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
+    return sizes.select("session", "seg", upto.alias("upto"))
+
+
 def window_enum(seeds: DataFrame, segments: DataFrame, queries: DataFrame) -> DataFrame:
     """(session, block, first, past, heard, found): windows of segments [first, past) around the seeds, whose token
     number suits the query, with their tokens and the place at which the search meets them.
 
-    queries has tokens, and low and high, the segments that a window may have."""
+    queries has tokens, and low and high, the segments that a window may have. Windows are chosen by their token
+    numbers alone; tokens are fetched for those that are left."""
     starts = seeds.withColumn("lead", F.explode(F.sequence(F.lit(0), F.lit(LEADS - 1)))).withColumn("first", F.col("seg") - F.col("lead"))
+    starts = starts.groupBy("session", "block", "first").agg(F.min(F.col("seed") * 1000 + F.col("lead") * 100).alias("met"))
     starts = starts.join(queries.select("session", "block", F.size("tokens").alias("size"), "low", "high"), ["session", "block"]).where(F.col("first") >= F.col("low"))
-    starts = starts.join(ahead(segments).withColumnRenamed("seg", "first"), ["session", "first"])
-    rows = starts.withColumn("length", F.explode(F.sequence(F.lit(1), F.size("ahead")))).withColumn("past", F.col("first") + F.col("length")).where(F.col("past") <= F.col("high") + 1)
-    rows = rows.withColumn("heard", F.flatten(F.slice("ahead", F.lit(1), F.col("length"))))
+    starts = starts.join(_sizes_ahead(segments).withColumnRenamed("seg", "first"), ["session", "first"])
+    rows = starts.select("*", F.posexplode("upto").alias("n", "many")).withColumn("past", F.col("first") + F.col("n") + 1).where(F.col("past") <= F.col("high") + 1)
     least, most = F.greatest(F.lit(1), F.floor(F.col("size") * 0.35)), F.greatest(F.lit(24), F.ceil(F.col("size") * 2.0))
-    rows = rows.where(F.size("heard").between(least, most))
-    found = F.col("seed") * 1000 + F.col("lead") * 100 + F.col("length")
-    return rows.groupBy("session", "block", "first", "past").agg(F.first("heard").alias("heard"), F.min(found).alias("found"))
+    rows = rows.where(F.col("many").between(least, most)).select("session", "block", "first", "past", (F.col("met") + F.col("n") + 1).alias("found"))
+    rows = rows.join(ahead(segments).withColumnRenamed("seg", "first"), ["session", "first"])
+    heard = F.flatten(F.slice("ahead", F.lit(1), (F.col("past") - F.col("first")).cast("int")))
+    return rows.select("session", "block", "first", "past", heard.alias("heard"), "found")
+
+
+def exact_coverage(words: str, heard: str) -> Column:
+    """The weight of query tokens that were heard, counts clipped, over that of all; words are distinct (token, count, idf)."""
+    total = F.aggregate(words, F.lit(0.0), lambda a, w: a + w["idf"] * w["count"])
+    times = lambda w: F.size(F.filter(heard, lambda t: t == w["token"])).cast("long")
+    return F.aggregate(words, F.lit(0.0), lambda a, w: a + w["idf"] * F.least(w["count"], times(w))) / total
+
 
+def score() -> Column:
+    balance = F.least(F.size("tokens"), F.size("heard")) / F.greatest(F.size("tokens"), F.size("heard"))
+    return (0.42 * F.col("coverage") + 0.23 * F.col("exact_coverage") + 0.20 * F.col("ordered") + 0.15 * F.col("compact")) * (0.84 + 0.16 * F.sqrt(balance))
+
+
+def scored(windows: DataFrame, queries: DataFrame, least_score: float = 0.0, least_coverage: float = 0.0) -> DataFrame:
+    """windows with exact_coverage, coverage and score against their queries (tokens, and words: distinct (token, count, idf)),
+    those with the least coverage and score.
 
-def scored(windows: DataFrame, queries: DataFrame) -> DataFrame:
-    """windows with exact_coverage, coverage and score against their queries (tokens, and words: distinct (token, count, idf))."""
+    Strings are only compared where the coverage, and as much as strings of these lengths can have in common, leave
+    the least score possible."""
     rows = windows.join(queries.select("session", "block", "tokens", "words"), ["session", "block"])
-    total = F.aggregate("words", F.lit(0.0), lambda a, w: a + w["idf"] * w["count"])
-    heard_times = lambda w: F.size(F.filter("heard", lambda t: t == w["token"]))
-    exact = F.aggregate("words", F.lit(0.0), lambda a, w: a + w["idf"] * F.least(w["count"], heard_times(w).cast("long")))
     rows = rows.withColumn("soft", similarity.soft(F.transform("words", lambda w: w["token"]), F.col("heard")))
+    total = F.aggregate("words", F.lit(0.0), lambda a, w: a + w["idf"] * w["count"])
     soft = F.aggregate(F.zip_with("words", "soft", lambda w, s: w["idf"] * w["count"] * s), F.lit(0.0), lambda a, x: a + x)
-    spaced = similarity.indel(F.array_join("tokens", " "), F.array_join("heard", " "))
-    solid = similarity.indel(F.array_join("tokens", ""), F.array_join("heard", ""))
-    rows = rows.withColumn("exact_coverage", exact / total).withColumn("coverage", soft / total).withColumn("ordered", spaced).withColumn("compact", solid)
-    balance = F.least(F.size("tokens"), F.size("heard")) / F.greatest(F.size("tokens"), F.size("heard"))
-    score = (0.42 * F.col("coverage") + 0.23 * F.col("exact_coverage") + 0.20 * F.col("ordered") + 0.15 * F.col("compact")) * (0.84 + 0.16 * F.sqrt(balance))
-    return rows.withColumn("score", score).drop("soft", "words")
+    rows = rows.withColumn("exact_coverage", exact_coverage("words", "heard")).withColumn("coverage", soft / total).drop("soft", "words")
+    said = {"ordered": (F.array_join("tokens", " "), F.array_join("heard", " ")), "compact": (F.array_join("tokens", ""), F.array_join("heard", ""))}
+    if least_score or least_coverage:
+        for name, (a, b) in said.items():
+            rows = rows.withColumn(name, 2 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b)))
+        rows = rows.where((F.col("coverage") >= least_coverage) & (score() >= least_score))
+    for name, (a, b) in said.items():
+        rows = rows.withColumn(name, similarity.indel(a, b))
+    return rows.withColumn("score", score()).where((F.col("coverage") >= least_coverage) & (F.col("score") >= least_score))

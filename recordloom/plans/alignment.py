@@ -64,12 +64,10 @@ def posting_votes(spark, sf_dir):
 
 def exact_coverage(spark, sf_dir):
     """Of each item and each document it is seeded to: the weight of shared tokens, counts clipped."""
-    heard = _documents(spark, sf_dir).select("session", "seg", F.explode(tokens(F.col("normalized_text"))).alias("token")).groupBy("session", "seg", "token").agg(F.count("*").alias("heard"))
-    words = _words(spark, sf_dir)
-    total = words.groupBy("session", "block").agg(F.sum(F.col("idf") * F.col("count")).alias("total"))
-    pairs = _seeds(spark, sf_dir).select("session", "block", "seg").join(words, ["session", "block"]).join(heard, ["session", "seg", "token"])
-    got = pairs.groupBy("session", "block", "seg").agg(F.sum(F.col("idf") * F.least("count", "heard")).alias("got"))
-    return got.join(total, ["session", "block"]).select("block", "seg", F.round(F.col("got") / F.col("total"), 6).alias("exact_coverage"))
+    words = _words(spark, sf_dir).groupBy("session", "block").agg(F.sort_array(F.collect_list(F.struct("token", "count", "idf"))).alias("words"))
+    heard = _documents(spark, sf_dir).select("session", "seg", tokens(F.col("normalized_text")).alias("heard"))
+    pairs = _seeds(spark, sf_dir).select("session", "block", "seg").join(words, ["session", "block"]).join(heard, ["session", "seg"])
+    return pairs.select("block", "seg", F.round(R.exact_coverage("words", "heard"), 6).alias("exact_coverage"))
 
 
 def indel_ratio(spark, sf_dir):
