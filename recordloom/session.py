@@ -11,12 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 _made: set[str] = set()
 
 
+#: Rows of an Arrow batch, where a session has Spark's default of 10,000: rows here are whole texts.
+BATCH_ROWS = 1000
+
+
 def with_package(spark: SparkSession) -> SparkSession:
-    """Python workers find this package where the driver has it; elsewhere, ship it by spark.submit.pyFiles."""
+    """Python workers find this package where the driver has it (elsewhere, ship it by spark.submit.pyFiles), and get
+    texts in batches of a few megabytes, unless the session says how many rows they get."""
     root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 
