@@ -8,8 +8,6 @@ order with a stack of states, which is the depth-first order of their trie witho
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import json
 import unicodedata
 from array import array
@@ -211,9 +209,7 @@ def _encode(shared):
                 yield out(rows)
         finally:
             bpe.forget()  # the worker goes on to other tasks, and perhaps to none that needs its memory
-            gc.collect()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -13,30 +13,53 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of whole documents, by distinct 2-word shingles, linked from 0.8 on.
+
+    Null and empty texts, and those without words, have n_shingles 0 and are their own component; rows with equal sets,
+    repeated rows included, are one component; ties go to the smallest doc_id; a null doc_id is kept; an empty table
+    gives no rows; other columns are ignored."""
     from .near_dup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """url_verdicts() of all pages, with the rules of the contract.
+
+    A null url, or one without "://", has an empty host and path, no rule, and the models' verdict; of rules of one
+    length the first by name fits; repeated rows get equal verdicts; an empty table gives no rows; other columns are
+    ignored."""
     from .url_filter import url_verdicts
 
     return url_verdicts(_table(spark, sf_dir, "pages"))
 
 
 def op3_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mixture() of all documents.
+
+    Null and empty texts have size 0, take nothing and have no place; a null source is one of its own, last in order;
+    repeated rows stand for themselves, each at its own place; an empty table gives no rows; other columns are ignored."""
     from .mixture import mixture
 
     return mixture(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "place")
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nearest() of all embeddings for the queries of the contract.
+
+    Rows with a null id or vector, or a vector that is zero, of odd length or not finite, take no part; ties go to the
+    smaller vec_id; equal rows are one; an empty table gives no rows; other columns are ignored."""
     from .ann import nearest
 
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the contract's own, formatted, and read back from the string and its mask.
+
+    Null roles and texts are empty; turns of equal number are in order of role and text; repeated rows are repeated
+    turns; rows without conv_id are one conversation; an empty table gives the contract's own only; other columns are
+    ignored."""
     from .chat import formatted, read_back, segments
 
     says = "<|im_end|><|im_start|>assistant ok"
@@ -48,6 +71,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encoded() of all documents, with digests of ids and decoded texts.
+
+    Null and empty texts have no tokens; long texts are encoded whole; repeated rows stand for themselves; an empty table
+    gives no rows; other columns are ignored."""
     import public_tokenizers
 
     from .bpe import encoded
@@ -58,6 +85,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pii_spans() of all documents, with counts and a digest of the base spans.
+
+    Null and empty texts have no spans; long texts are searched whole; spans are by start, then kind; repeated rows stand
+    for themselves; an empty table gives no rows; other columns are ignored."""
     from .pii import KINDS, listed, pii_spans
 
     found = pii_spans(_table(spark, sf_dir, "documents"))
@@ -67,18 +98,30 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality() of all documents.
+
+    Null and empty texts have no words and fail; a null source is a host of its own; repeated rows stand for themselves
+    and are one text to the line counts; an empty table gives no rows; other columns are ignored."""
     from .quality import quality
 
     return quality(_table(spark, sf_dir, "documents")).drop("source", "h")
 
 
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shards() of all documents, by the law "rows".
+
+    Null texts have size 1 and the crc of an empty one; nulls come first in every dimension; ties are by text_crc32,
+    doc_id and size; repeated rows take a slot each; an empty table gives no rows; other columns are ignored."""
     from .sharding import shards
 
     return shards(_table(spark, sf_dir, "documents"))
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lm_scores() of all documents.
+
+    Null and empty texts have the end as their only token; a null doc_id counts as an empty string; repeated rows each
+    count; long texts are scored whole; an empty table gives no rows; other columns are ignored."""
     from .lm_score import lm_scores
 
     return lm_scores(_table(spark, sf_dir, "documents"))

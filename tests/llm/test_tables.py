@@ -187,6 +187,17 @@ def test_pipeline_stages(spark, odd, odd_docs):
     assert after.count() == given.count() and after.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def test_stages_with_clashing_columns_and_empty_tables(spark, odd, crowded, nothing):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        plain, wide = stage(spark, odd, "unused"), stage(spark, crowded, "unused")
+        if name != "bpe":
+            assert plain.columns == odd.columns and wide.columns == crowded.columns, name
+        assert sorted(map(repr, wide.select(*plain.columns).collect())) == sorted(map(repr, plain.collect())), name
+        assert stage(spark, nothing, "unused").count() == 0, name
+
+
 def test_the_guard(spark):
     import __spark_entry__
 
