@@ -92,11 +92,16 @@ def tokens(x: Column) -> Column:
     return F.filter(F.split(x, " "), lambda t: t != "")
 
 
+def lines(x: Column) -> Column:
+    """Stripped lines that are not blank."""
+    edge = f"^{SPACE}+|{SPACE}+$"
+    found = F.transform(F.split(x, r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"), lambda s: F.regexp_replace(s, edge, ""))
+    return F.filter(found, lambda s: s != "")
+
+
 def join_lines(x: Column) -> Column:
     """Stripped lines that are not blank, joined by one space."""
-    edge = f"^{SPACE}+|{SPACE}+$"
-    lines = F.transform(F.split(x, r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"), lambda s: F.regexp_replace(s, edge, ""))
-    return F.array_join(F.filter(lines, lambda s: s != ""), " ")
+    return F.array_join(lines(x), " ")
 
 
 def slug(x: Column) -> Column:

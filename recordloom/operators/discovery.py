@@ -14,9 +14,9 @@ LATER_STATES = ["pdf_parsed", "aligned", "published", "prototype_ready_review_pe
 
 
 def unique_date_match(records: DataFrame, videos: DataFrame, on: list[str]) -> DataFrame:
-    """records with the one video of their date; more or none need review, their candidates listed.
+    """records with the one video of their date; more or none need review, all their candidates listed.
 
-    The first copies of a candidate decide, so only two of them and the ids are kept of a date's videos."""
+    A reviewer chooses among all candidates of a date, so all are listed: as many as the playlist has for it."""
     found = videos.groupBy(*on).agg(F.array_sort(F.collect_list("video_id")).alias("candidate_video_ids"))
     rows = records.join(found, on, "left").withColumn("candidate_video_ids", F.coalesce("candidate_video_ids", F.array().cast("array<string>")))
     one = F.size("candidate_video_ids") == 1
@@ -44,29 +44,31 @@ def status_patch(manifest: DataFrame, done: DataFrame) -> DataFrame:
     return rows.withColumn("status", status).withColumn("current_revision", F.coalesce("__r", "current_revision")).drop("__r")
 
 
-def _latest(df: DataFrame, condition) -> DataFrame:
-    return df.agg(F.max(F.when(condition, F.col("session_date"))).alias("__latest"))
-
-
-def pending_sessions(matches: DataFrame, preserved: DataFrame) -> DataFrame:
+def pending_sessions(matches: DataFrame, preserved: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Dates to process: matched, and either new and after all preserved ones, or preserved from another address.
 
-    matches has session_date, source_url and status; preserved has session_date and source_url."""
-    rows = matches.join(preserved.select("session_date", F.col("source_url").alias("__have")), "session_date", "left")
-    rows = rows.join(F.broadcast(_latest(rows, F.col("__have").isNotNull())))  # one row
-    new = F.col("__have").isNull() & (F.col("__latest").isNull() | (F.col("session_date") > F.col("__latest")))
-    return rows.where((F.col("status") == "matched") & (new | (F.col("__have") != F.col("source_url")))).select("session_date").distinct()
+    matches has session_date, source_url and status; preserved has session_date and source_url; both have keys, if
+    given: each combination of them is a feed of its own."""
+    keys, on = keys or [], [*(keys or []), "session_date"]
+    rows = matches.join(preserved.select(*on, F.col("source_url").alias("__have")), on, "left")
+    have = F.col("__have").isNotNull()
+    latest = rows.groupBy(*keys).agg(F.max(F.when(have, F.col("session_date"))).alias("__latest"))
+    rows = rows.join(latest, keys) if keys else rows.join(F.broadcast(latest))  # one row
+    new = ~have & (F.col("__latest").isNull() | (F.col("session_date") > F.col("__latest")))
+    return rows.where((F.col("status") == "matched") & (new | (F.col("__have") != F.col("source_url")))).select(*on).distinct()
 
 
-def intake_plan(matches: DataFrame, preserved: DataFrame, pending: DataFrame, requested: DataFrame) -> DataFrame:
-    """(session_date, session_id, source_url, video_id, branch, reason): work, by the first reason that holds.
+def intake_plan(matches: DataFrame, preserved: DataFrame, pending: DataFrame, requested: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, session_date, session_id, source_url, video_id, branch, reason): work, by the first reason that holds.
 
-    pending and requested have session_date: those with a branch under way, and those asked for."""
-    flag = lambda df, name: df.select("session_date").distinct().withColumn(name, F.lit(True))
-    rows = matches.join(preserved.select("session_date", F.col("source_url").alias("__have")), "session_date", "left").join(flag(pending, "__pending"), "session_date", "left").join(flag(requested, "__asked"), "session_date", "left")
-    last = rows.agg(F.max(F.when(F.col("__have").isNotNull(), F.col("session_date"))).alias("__latest"), F.max("session_date").alias("__newest"))
-    rows = rows.join(F.broadcast(last))  # one row
+    pending and requested have session_date: those with a branch under way, and those asked for. All have keys, if given:
+    each combination of them is a feed of its own."""
+    keys, on = keys or [], [*(keys or []), "session_date"]
+    flag = lambda df, name: df.select(*on).distinct().withColumn(name, F.lit(True))
+    rows = matches.join(preserved.select(*on, F.col("source_url").alias("__have")), on, "left").join(flag(pending, "__pending"), on, "left").join(flag(requested, "__asked"), on, "left")
     have = F.col("__have").isNotNull()
+    last = rows.groupBy(*keys).agg(F.max(F.when(have, F.col("session_date"))).alias("__latest"), F.max("session_date").alias("__newest"))
+    rows = rows.join(last, keys) if keys else rows.join(F.broadcast(last))  # one row
     reason = (
         F.when(F.col("__asked"), "requested_session")
         .when(F.col("__pending") & ~have, "pending_video_or_processing")
@@ -75,7 +77,7 @@ def intake_plan(matches: DataFrame, preserved: DataFrame, pending: DataFrame, re
         .when(have & (F.col("session_date") == F.col("__newest")), "verify_latest_revision")
     )
     rows = rows.withColumn("reason", reason).where("reason is not null")
-    return rows.select("session_date", "session_id", "source_url", F.when(F.col("status") == "matched", F.col("video_id")).alias("video_id"), F.concat(F.lit("automation/session-"), F.col("session_date").cast("string")).alias("branch"), "reason")
+    return rows.select(*on, "session_id", "source_url", F.when(F.col("status") == "matched", F.col("video_id")).alias("video_id"), F.concat(F.lit("automation/session-"), F.col("session_date").cast("string")).alias("branch"), "reason")
 
 
 def unknown_requests(requested: DataFrame, records: DataFrame) -> DataFrame:

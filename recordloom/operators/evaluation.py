@@ -14,15 +14,25 @@ from .reading import range_distance
 BROADCAST_TOKENS = 300_000
 
 
+def _on_pages(moments: DataFrame, blocks: DataFrame, on: list[str]) -> DataFrame:
+    """moments, failing on one whose page has no block."""
+    pages = blocks.select(*on).distinct().withColumn("__page", F.lit(True))
+    empty = F.raise_error(F.concat(F.lit("no blocks on reference page "), F.concat_ws("/", *[F.col(c).cast("string") for c in on]))).cast("boolean")
+    return moments.join(pages, on, "left").withColumn("__page", F.coalesce("__page", empty)).where("__page").drop("__page")
+
+
 def reference_match(moments: DataFrame, blocks: DataFrame, on: list[str]) -> DataFrame:
-    """moments (on, moment, excerpt) with the block (on, sequence, block_id, text) that is most alike, and its score.
+    """moments (on, moment, excerpt) with the block (on, sequence, block_id, text, perhaps speaker) that is most alike, and its score.
 
-    on is the page, so a moment meets the blocks of one page. Ties go to the first block. Shared tokens are counted
+    on is the page, so a moment meets the blocks of one page; it fails on a page without blocks. A block's text begins
+    with its speaker, where there is one. Ties go to the first block. Shared tokens are counted
     through an inverted index; strings are compared only where the coverage, and the most that difflib can add to it
     for strings of these lengths, reach what the moment's best coverage gives alone."""
     with_package(moments.sparkSession)
     moments = written(moments.withColumn("__m", F.monotonically_increasing_id()).withColumn("__q", normalize_asr(F.col("excerpt"))), "moments")
-    blocks = written(blocks.withColumn("__b", F.monotonically_increasing_id()).withColumn("__t", normalize_asr(F.col("text"))).drop("text"), "blocks")
+    said = F.concat_ws(" ", *([F.nullif(F.col("speaker"), F.lit(""))] if "speaker" in blocks.columns else []), F.nullif(F.col("text"), F.lit("")))
+    blocks = written(blocks.withColumn("__b", F.monotonically_increasing_id()).withColumn("__t", normalize_asr(said)).drop("text", "speaker"), "blocks")
+    moments = _on_pages(moments, blocks, on)
     q, t = F.array_distinct(tokens(F.col("__q"))), F.array_distinct(tokens(F.col("__t")))
     wanted = moments.select(*on, "__m", F.explode(q).alias("token"))
     few = wanted.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS

@@ -53,6 +53,51 @@ def schema_constraints(blocks: DataFrame) -> DataFrame:
     return counts.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, rules)), F.array(*map(F.col, rules)))).alias("constraint", "violations"))
 
 
+def session_constraints() -> dict[str, Column]:
+    """What must hold of every published session: types, formats, patterns and least values of its fields."""
+    uri, text = r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s]+$", lambda c: F.col(c).isNotNull()
+    when = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
+    return {
+        "channel": text("channel"),
+        "coverage_0_to_1": F.col("coverage").between(0, 1),
+        "date_format": F.rlike("date", F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")) & F.try_to_date("date").isNotNull(),
+        "duration_above_0": F.col("duration_seconds") > 0,
+        "id": text("id"),
+        "journal_number_from_1": F.col("journal_number") >= 1,
+        "journal_url_format": F.rlike("journal_url", F.lit(uri)),
+        "needs_review_from_0": F.col("needs_review") >= 0,
+        "page_count_from_1": F.col("page_count") >= 1,
+        "playlist_id": text("playlist_id"),
+        "retrieved_at_format": F.rlike("retrieved_at", F.lit(when)),
+        "schema_version": F.col("schema_version") == "1.1.0",
+        "sha256_pattern": F.rlike("sha256", F.lit("^[0-9a-f]{64}$")),
+        "source_revision_from_1": F.col("source_revision") >= 1,
+        "timed_blocks_from_0": F.col("timed_blocks") >= 0,
+        "title": text("title"),
+        "total_blocks_from_1": F.col("total_blocks") >= 1,
+        "video_id": text("video_id"),
+        "video_url_format": F.rlike("video_url", F.lit(uri)),
+    }
+
+
+def session_faults(sessions: DataFrame) -> DataFrame:
+    """(id, constraint) of every violation; a field that is null, or missing in a row, is one."""
+    wrong = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in session_constraints().items()]))
+    return sessions.select("id", F.explode(wrong).alias("constraint"))
+
+
+def validated(sessions: DataFrame) -> DataFrame:
+    """sessions, failing on the first violations of one, ten at most, as the message lists them."""
+    wrong = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in session_constraints().items()]))
+    message = F.concat(F.lit("public session schema validation failed: "), F.array_join(F.slice(wrong, 1, 10), "; "))
+    return sessions.withColumn("schema_version", F.when(F.size(wrong) == 0, F.col("schema_version")).otherwise(F.raise_error(message).cast("string")))
+
+
+def shown_blocks(blocks: DataFrame) -> DataFrame:
+    """The blocks that a reader sees: all but other ones."""
+    return blocks.where("kind <> 'other'")
+
+
 def first_violations(blocks: DataFrame, key: str, limit: int = 10) -> DataFrame:
     """The first violations by path, as a report shows them."""
     wrong = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in constraints().items()]))
@@ -60,7 +105,10 @@ def first_violations(blocks: DataFrame, key: str, limit: int = 10) -> DataFrame:
 
 
 def public_index(sessions: DataFrame) -> DataFrame:
-    """(latest, date, journal_number, title, path) of all published sessions, newest first."""
+    """(latest, date, journal_number, title, path) of all published sessions, newest first; fails where there are none."""
     rows = sessions.select("date", "journal_number", "title", F.concat(F.lit("/data/sessions/"), F.col("date").cast("string"), F.lit(".json")).alias("path"))
     latest = rows.agg(F.max("date").alias("latest"))
+    # no rows give no latest date, and an index without sessions is not published
+    empty = F.raise_error(F.lit("cannot publish an empty session index")).cast(latest.schema["latest"].dataType)
+    latest = latest.select(F.coalesce("latest", empty).alias("latest"))
     return rows.join(F.broadcast(latest)).orderBy(F.desc("date"))  # one row

@@ -34,8 +34,7 @@ def split_artifacts(blocks: DataFrame) -> DataFrame:
 
     A block of several lines that are all page headers or numbers is a fragment for each; any other is one, its lines
     joined."""
-    lines = F.filter(F.transform(F.split("text", r"\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
-    rows = blocks.withColumn("lines", lines).where(F.size("lines") > 0)
+    rows = blocks.withColumn("lines", T.lines(F.col("text"))).where(F.size("lines") > 0)
     artifact = (F.size("lines") > 1) & F.forall("lines", lambda s: T.role(s).isNotNull())
     parts = F.when(artifact, F.transform("lines", lambda s: F.struct(s.alias("raw"), s.alias("source")))).otherwise(F.array(F.struct(F.array_join("lines", " ").alias("raw"), F.regexp_replace("text", r"\n+$", "").alias("source"))))
     box = F.col("bbox") if "bbox" in blocks.columns else F.lit(None).cast("array<double>")

@@ -9,20 +9,21 @@ from ..functions import similarity
 from ..functions.text import normalize_asr, normalize_record, tokens
 from ..operators import alignment as A
 from ..operators import evaluation as E
+from ..operators import jobs as J
 from ..operators import retrieval as R
 from .bindings import table
 from .structure import normalize_asr_sql
 
 
 def _documents(spark, sf_dir) -> DataFrame:
-    """Documents as the segments of their language's session."""
+    """Documents as the segments of one session."""
     d = table(spark, sf_dir, "documents").where("text is not null")
-    return d.select(F.col("lang").alias("session"), F.col("doc_id").alias("seg"), normalize_asr(F.col("text")).alias("normalized_text"))
+    return d.select(F.lit("all").alias("session"), F.col("doc_id").alias("seg"), normalize_asr(F.col("text")).alias("normalized_text"))
 
 
 def _items(spark, sf_dir) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.lit("en").alias("session"), F.col("item_id").alias("block"), tokens(normalize_asr(F.col("text"))).alias("tokens"))
+    return b.select(F.lit("all").alias("session"), F.col("item_id").alias("block"), tokens(normalize_asr(F.col("text"))).alias("tokens"))
 
 
 def _words(spark, sf_dir) -> DataFrame:
@@ -30,10 +31,10 @@ def _words(spark, sf_dir) -> DataFrame:
     return R.query_tokens(_items(spark, sf_dir), R.token_idf(docs), docs.groupBy("session").agg(F.count("*").alias("n")))
 
 
-STATS_SQL = f"""docs AS (SELECT lang AS session, doc_id AS seg, string_split({normalize_asr_sql("text")}, ' ') AS toks FROM documents WHERE text IS NOT NULL), sizes AS (SELECT session, count(*) AS n FROM docs GROUP BY 1),
+STATS_SQL = f"""docs AS (SELECT 'all' AS session, doc_id AS seg, string_split({normalize_asr_sql("text")}, ' ') AS toks FROM documents WHERE text IS NOT NULL), sizes AS (SELECT session, count(*) AS n FROM docs GROUP BY 1),
 posts AS (SELECT DISTINCT session, seg, t AS token FROM (SELECT session, seg, unnest(toks) AS t FROM docs) WHERE t <> ''), dfs AS (SELECT session, token, count(*) AS df FROM posts GROUP BY 1, 2),
 stats AS (SELECT d.session, d.token, df, n, ln((n + 1) / (df + 1)) + 1 AS idf FROM dfs d JOIN sizes s ON d.session = s.session),
-items AS (SELECT 'en' AS session, item_id AS block, unnest(string_split({normalize_asr_sql("text")}, ' ')) AS token FROM benchmark), q0 AS (SELECT session, block, token, count(*) AS c FROM items WHERE token <> '' GROUP BY 1, 2, 3),
+items AS (SELECT 'all' AS session, item_id AS block, unnest(string_split({normalize_asr_sql("text")}, ' ')) AS token FROM benchmark), q0 AS (SELECT session, block, token, count(*) AS c FROM items WHERE token <> '' GROUP BY 1, 2, 3),
 q AS (SELECT q0.session, q0.block, q0.token, c, coalesce(df, 0) AS df, sizes.n, ln((sizes.n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM q0 JOIN sizes ON q0.session = sizes.session LEFT JOIN stats ON q0.session = stats.session AND q0.token = stats.token)"""
 _STOP = "(" + ", ".join(f"'{w}'" for w in R.STOPWORDS) + ")"
 _INFORMATIVE = f"length(token) > 2 AND token NOT IN {_STOP} AND df <= greatest(5, ceil(n * 0.025))"
@@ -146,6 +147,14 @@ def diagnostics(spark, sf_dir):
     return A.diagnostics(_blocks(spark, sf_dir), _aligned(spark, sf_dir))
 
 
+def finalize_session(spark, sf_dir):
+    """All conversations aligned, published and entered in the manifest: what each run reports, and the state it leaves."""
+    b = _blocks(spark, sf_dir).withColumn("page", (F.col("pos") / 4).cast("int") + 1).withColumn("speaker", F.lit(None).cast("string")).withColumn("section_id", F.lit(None).cast("string")).withColumn("section_title", F.lit(None).cast("string"))
+    manifest = b.select(F.col("session").alias("session_id"), F.lit("pdf_parsed").alias("status")).distinct()
+    done = J.finalised(b, _segments(spark, sf_dir), _overrides(spark, sf_dir), manifest)
+    return done.report.join(done.manifest.select(F.col("session_id").alias("session"), "status"), "session")
+
+
 def window_enum(spark, sf_dir):
     turns = _blocks(spark, sf_dir).where(F.col("kind").isin(A.SPOKEN)).select("session", F.col("pos").alias("block"), tokens(normalize_asr(F.col("text"))).alias("tokens")).join(_bounds(spark, sf_dir).select("session", "low", "high"), "session")
     seeds = turns.select("session", "block", F.least(F.col("block").cast("long") * 2, F.col("high")).alias("seg"), F.lit(1).alias("seed"))
@@ -179,7 +188,7 @@ def pass_rate(spark, sf_dir):
     return E.pass_rate(_evaluated(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (token_idf, informative_tokens, rare_tokens, posting_votes, exact_coverage, indel_ratio, window_enum, soft_coverage, align_score, nms, monotone_path, align, review_queue, diagnostics, reference_match, evaluation, pass_rate)}
+QUERIES = {f.__name__: f for f in (token_idf, informative_tokens, rare_tokens, posting_votes, exact_coverage, indel_ratio, window_enum, soft_coverage, align_score, nms, monotone_path, align, review_queue, diagnostics, finalize_session, reference_match, evaluation, pass_rate)}
 
 _EVAL = """d AS (SELECT printf('d%05d', doc_id) AS block_id, doc_id * 1.5 AS s, doc_id * 1.5 + 2 AS e FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0), m AS (SELECT item_id AS moment, printf('d%05d', item_id * 7) AS block_id, item_id * 10.0 AS es, item_id * 10.0 + 5 AS ee FROM benchmark),
 ev AS (SELECT moment, m.block_id, s IS NOT NULL AS aligned, coalesce(s <= ee AND e >= es, false) AS range_overlap, round(greatest(0.0, s - es, es - e), 3) AS navigation_error_seconds, s, e, es, ee FROM m LEFT JOIN d ON m.block_id = d.block_id), evaluated AS (SELECT moment, block_id, aligned, range_overlap, CASE WHEN aligned THEN CAST(navigation_error_seconds AS DOUBLE) END AS navigation_error_seconds, aligned AND (range_overlap OR greatest(0.0, s - es, es - e) <= 30) AS pass FROM ev)"""

@@ -51,7 +51,7 @@ def stream_active_block(spark, sf_dir):
 def stream_runs(spark, sf_dir):
     """Runs that have ended: all but each user's last."""
     with_package(spark)
-    runs = _drained(spark, O.streamed_runs(_stream(spark, _timed(spark, sf_dir).select("session", "start", "end", "normalized_text").coalesce(1), "runs")), "runs")
+    runs = _drained(spark, O.streamed_runs(_stream(spark, _timed(spark, sf_dir).select("session", "start", "end", "normalized_text"), "runs")), "runs")
     return runs.select("session", "run", "normalized_text", F.col("count").alias("n"), F.round("duration", 3).alias("duration"))
 
 
@@ -66,6 +66,8 @@ QUERIES = {f.__name__: f for f in (stream_once_owned, stream_active_block, strea
 ORACLE_SQL = {
     "stream_once_owned": f"""WITH {SEG_SQL} SELECT CAST(floor(("start" + "end") / 2 / {DAY}) AS BIGINT) + 1 AS number, count(*) AS n FROM seg GROUP BY 1""",
     "stream_active_block": f"""WITH {SEG_SQL} SELECT p.event_id AS probe, count(*) AS active, 'b' || arg_max(b.event_id, struct_pack(s := b."start", q := -b.event_id)) AS best FROM seg p JOIN seg b ON p.event_type = 'click' AND b.event_type <> 'click' AND b."start" <= p."start" + 0.25 AND b."start" >= p."start" - 1800 AND b."end" >= p."start" - 0.25 GROUP BY 1""",
+    "stream_window_counts": f"""WITH {SEG_SQL}, w AS (SELECT user_id, floor("start" / {DAY}) AS d, count(*) AS n FROM seg GROUP BY 1, 2), top AS (SELECT max("start") - 3600 AS mark FROM seg)
+      SELECT CAST(user_id AS VARCHAR) AS session, count(*) AS windows, CAST(sum(n) AS BIGINT) AS segments FROM w, top WHERE (d + 1) * {DAY} <= mark GROUP BY 1""",
     "stream_runs": f"""WITH {SEG_SQL}, marked AS (SELECT *, CASE WHEN normalized_text = lag(normalized_text) OVER w THEN 0 ELSE 1 END AS fresh FROM seg WINDOW w AS (PARTITION BY user_id ORDER BY "start", event_id)), numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY "start", event_id) AS run FROM marked),
       runs AS (SELECT user_id, run, min(normalized_text) AS normalized_text, count(*) AS n, greatest(0.0, arg_max("end", "start") - min("start")) AS duration FROM numbered GROUP BY 1, 2), lasts AS (SELECT user_id, max(run) AS m FROM runs GROUP BY 1)
       SELECT CAST(r.user_id AS VARCHAR) AS session, CAST(run AS BIGINT) AS run, normalized_text, n, round(duration, 3) AS duration FROM runs r JOIN lasts l ON r.user_id = l.user_id WHERE run < m""",

@@ -6,8 +6,10 @@ import time
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 FEED = "parties array<struct<slug: string, label: string, sections: array<struct<id: int, title: string, documents: array<struct<id: int, label: string, url: string, filename: string>>>>>>"
 PLAYLIST = "id string, title string, entries array<struct<id: string, title: string, duration: double>>"
@@ -98,9 +100,55 @@ def read_with_retry(attempt: Callable[[], bytes], fallback: Callable[[], bytes]
     raise OSError("the source is unavailable") from last
 
 
-def canonical(row: Column) -> Column:
-    """JSON of a struct with its fields sorted; the hash of it is a configuration's fingerprint."""
-    return F.to_json(row, {"ignoreNullFields": "false"})
+def _sorted(value: Column, kind: DataType) -> Column:
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[_sorted(value[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _sorted(x, kind.elementType))
+    return value
+
+
+def canonical(df: DataFrame, name: str) -> Column:
+    """JSON of a struct column of df, the fields of it and of structs in it sorted by name; null fields are written. The
+    hash of it is a configuration's fingerprint."""
+    return F.to_json(_sorted(F.col(name), df.schema[name].dataType), {"ignoreNullFields": "false"})
+
+
+def read_feed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, parties) of captured feeds, one JSON document a file; fails on one without parties."""
+    rows = spark.read.schema(FEED).option("multiLine", True).json(path).withColumn("path", F.input_file_name())
+    missing = F.raise_error(F.concat(F.lit("no feed: "), F.col("path"))).cast(rows.schema["parties"].dataType)
+    return rows.select("path", F.coalesce("parties", missing).alias("parties"))
+
+
+def read_playlist(spark: SparkSession, path: str, fallback: str | None = None) -> DataFrame:
+    """(path, id, title, entries) of captured playlists; of fallback, where there is none or none has entries."""
+    read = lambda p: spark.read.schema(PLAYLIST).option("multiLine", True).json(p).withColumn("path", F.input_file_name()).where("entries is not null")
+    try:
+        live = read(path)
+        if fallback is None or not live.isEmpty():
+            return live
+    except AnalysisException:
+        if fallback is None:
+            raise
+    return read(fallback)
+
+
+def read_session(spark: SparkSession, path: str, session_date: str) -> DataFrame:
+    """One session of the published table, which is partitioned by session_date: the others' files are not read."""
+    return spark.read.parquet(path).where(F.col("session_date") == F.lit(session_date).cast("date"))
+
+
+def route_date(path: Column) -> Column:
+    """The session date of a page's path; null of any other path."""
+    found = F.regexp_extract(path, r"^/sessions/([0-9]{4}-[0-9]{2}-[0-9]{2})/?$", 1)
+    return F.nullif(found, F.lit(""))
+
+
+def in_order(df: DataFrame, by: str = "session_date", then: str = "journal_number") -> DataFrame:
+    """Records by date and number, videos by date and id; what has none comes first."""
+    return df.orderBy(F.coalesce(F.col(by).cast("string"), F.lit("")), F.col(then).asc_nulls_first())
 
 
 def write_if_changed(path: str, text: str) -> bool:

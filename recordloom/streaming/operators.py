@@ -50,19 +50,20 @@ _STATE = "run long, text string, count long, first double, last double"
 def _runs(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     run, text, count, first, last = state.get if state.exists else (0, None, 0, 0.0, 0.0)
     done = []
-    for rows in batches:
-        for r in rows.sort_values("start").itertuples(index=False):
-            if r.normalized_text == text:
-                count, last = count + 1, r.end
-                continue
-            if count:
-                done.append((key[0], run, text, count, max(0.0, last - first)))
-            run, text, count, first, last = run + 1, r.normalized_text, 1, r.start, r.end
+    # Arrow cuts a trigger's rows into batches as it likes; a session's rows of a trigger are put in order together
+    for r in pd.concat(batches).sort_values(["start", "end", "normalized_text"], kind="stable").itertuples(index=False):
+        if r.normalized_text == text:
+            count, last = count + 1, r.end
+            continue
+        if count:
+            done.append((key[0], run, text, count, max(0.0, last - first)))
+        run, text, count, first, last = run + 1, r.normalized_text, 1, r.start, r.end
     state.update((run, text, count, first, last))
     yield pd.DataFrame(done, columns=["session", "run", "normalized_text", "count", "duration"])
 
 
 def streamed_runs(segments: DataFrame) -> DataFrame:
     """Runs of equal texts of a stream (session, start, end, normalized_text) in order, each once the next has begun;
-    the one under way is a session's state."""
+    the one under way is a session's state. Rows of a trigger are put in order of start, end and text; a trigger's rows
+    are taken to come after those of earlier ones."""
     return segments.groupBy("session").applyInPandasWithState(_runs, RUN, _STATE, "append", "NoTimeout")
