@@ -31,6 +31,8 @@ SALT_ROWS = 512
 SMALL, TILE = 16, 1 << 18
 #: Masks by which the order of ids is turned: the smallest id under each is a hub of its bucket.
 HUBS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
+#: Nodes of a task that makes their keys.
+NODES = 1 << 17
 #: 8-byte ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -269,7 +271,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
     signed = written(docs.mapInArrow(_sign(shingle, collections), "doc_id long, n long, s1 long, s2 long, sig array<long>"), "signed")
     nodes = signed.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x"))
     nodes = written(nodes.select("s1", "s2", F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.sig").alias("sig")), "nodes")
-    placed = nodes.select("rep", F.posexplode(_tables(collections)).alias("t", "key"))
+    # keys are nearly all different, so a task holds as many as it makes: nodes are dealt to many tasks first
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() // NODES)
+    placed = nodes.select("rep", "sig").repartition(tasks, "rep").select("rep", F.posexplode(_tables(collections)).alias("t", "key"))
 
     # buckets with more than one node; most have one
     names = [f"hub{i}" for i in range(len(HUBS))]
