@@ -161,6 +161,33 @@ def test_recall(spark):
     assert sum(len(got[q] & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
 
 
+def test_few_leaves_find_clustered_neighbours(spark, monkeypatch):
+    """50,000 rows: the leaves to open are measured, and are few where vectors have near neighbours."""
+    r = np.random.RandomState(4)
+    x = np.repeat(r.randn(500, 16), 100, axis=0) + 0.15 * r.randn(50_000, 16)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    measure, seen = ann.needed_probes, {}
+
+    def noted(classes, asked, forest, *rest):
+        seen["probes"], seen["leaves"] = measure(classes, asked, forest, *rest), sum(len(t.normals) + 1 for t in forest)
+        return seen["probes"]
+
+    monkeypatch.setattr(ann, "needed_probes", noted)
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(50_000), "embedding": list(x)}))
+    got = collections.defaultdict(set)
+    for row in ann.nearest(df, every=500).collect():
+        got[row["query_id"]].add(row["vec_id"])
+    asked = np.arange(0, 50_000, 500)
+    near = x[asked].astype(float) @ x.T.astype(float)
+    near[np.arange(100), asked] = -9
+    want = np.argsort(-near, axis=1)[:, :20]
+    assert np.mean([len(got[q] & set(w)) / 20 for q, w in zip(asked.tolist(), want.tolist(), strict=True)]) >= 0.9
+    # a leaf is one of 32 trees' 1024: so many times 1 / 1024 of the rows are scored at most
+    assert seen["probes"] <= 0.05 * seen["leaves"] / 32
+
+
 def test_pipeline_stages(spark, odd, odd_docs):
     import corpus_pipeline
 
