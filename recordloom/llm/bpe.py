@@ -56,7 +56,9 @@ class WordBpe:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.learned, self.flat, self.lens, self.texts = {}, {}, array("i"), array("q"), []
+        """Drops what was learned: ids and texts of words and chunks, which are known by their number."""
+        self.known, self.learned = {}, {}
+        self.flat, self.begin, self.lens, self.texts = array("i"), array("q"), array("q"), []
         for t, i in self.special.items():
             self.learned[t] = self._entry([i], t)
         if len(self.together) > 4 * REMEMBERED:
@@ -64,8 +66,9 @@ class WordBpe:
 
     def _entry(self, ids: list[int], text: str) -> int:
         """The number under which these ids and their text are kept."""
-        self.flat.extend(ids)
+        self.begin.append(len(self.flat))
         self.lens.append(len(ids))
+        self.flat.extend(ids)
         self.texts.append(text)
         return len(self.texts) - 1
 
@@ -93,18 +96,22 @@ class WordBpe:
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """Token ids of distinct words in byte characters."""
-        out, states, last, together, longest = {}, [(-1, 0)], "", self.together, self.longest
+        out, states, last, together, longest, inner, final = {}, [(-1, 0)], "", self.together, self.longest, self.inner, self.final
         for word in sorted(words):
+            whole = final.get(word)
+            if whole is not None and self.fits(-1, whole):
+                out[word] = [whole]  # the states stay those of the last word
+                continue
             size = len(word)
             shared, most = 0, min(len(last), size - 1, len(states) - 1)
             while shared < most and last[shared] == word[shared]:
                 shared += 1
             del states[shared + 1 :]
             # the last token of word[:end] goes together with that of what is before it; at the word's end, tokens are final ones
-            table = self.inner
+            table = inner
             for end in range(shared + 1, size + 1):
                 if end == size:
-                    table = self.final
+                    table = final
                 for start in range(end - 1, (end - longest if end > longest else 0) - 1, -1):
                     token = table.get(word[start:end])
                     if token is not None:
@@ -128,7 +135,10 @@ class WordBpe:
 
     def _learn(self, chunks: set[bytes]) -> None:
         """Remembers the ids of chunks, which are texts without ASCII white space."""
-        chunks = [*chunks]
+        # chunks of ASCII letters are a word each; the others are cut into words
+        plain = [c for c in chunks if c.isalpha()]
+        words = b"\n".join(plain).lower().decode().split("\n") if plain else []
+        chunks = [c for c in chunks if not c.isalpha()]
         joined = b"\n".join(chunks).decode()
         pieces = self.special_at.split(joined) if "<|" in joined else [joined]
         found: list[list] = [[]]
@@ -141,24 +151,30 @@ class WordBpe:
                     found.append([])
                 else:
                     found[-1].append(word)
-        learned, known, chars, entry = self.learned, self.known, self.byte_chars, self._entry
-        new = {w for own in found for w in own}.difference(learned)
+        learned, known, chars, token = self.learned, self.known, self.byte_chars, self.token
+        flat, begin, lens, texts = self.flat, self.begin, self.lens, self.texts
+        new = set(words).union(*found).difference(learned)
         spelled = {w: w if w.isascii() and w.isprintable() else "".join([chars[b] for b in w.encode()]) for w in new}
-        token = self.token
         encoded = self.encode_words(list(spelled.values()))
         for w, own in spelled.items():
-            ids = encoded.pop(own, None)
-            learned[w] = entry(ids, " ".join([token[i] for i in ids]))
-        begin = None
-        for chunk, own in zip(chunks, found, strict=True):
+            ids = encoded[own]
+            learned[w] = len(texts)
+            begin.append(len(flat))
+            lens.append(len(ids))
+            flat.extend(ids)
+            texts.append(token[ids[0]] if len(ids) == 1 else " ".join([token[i] for i in ids]))
+        known.update(zip(plain, map(learned.__getitem__, words), strict=True))
+        for chunk, own in zip(chunks, found if chunks else (), strict=True):
             if len(own) == 1:
                 known[chunk] = learned[own[0]]
-            else:
-                if begin is None:
-                    begin = np.concatenate([[0], np.cumsum(self.lens)]).tolist()
-                parts = [learned[w] for w in own]
-                ids = [i for p in parts for i in self.flat[begin[p] : begin[p + 1]]]
-                known[chunk] = entry(ids, " ".join([self.texts[p] for p in parts]))
+                continue
+            known[chunk], at = len(texts), len(flat)
+            parts = [learned[w] for w in own]
+            for p in parts:
+                flat.extend(flat[begin[p] : begin[p] + lens[p]])
+            begin.append(at)
+            lens.append(len(flat) - at)
+            texts.append(" ".join([texts[p] for p in parts]))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Ids of all texts, where each text's begin (and the last one's end), and the texts decoded from them."""
@@ -168,8 +184,8 @@ class WordBpe:
         new = set().union(*split).difference(self.known)
         if new:
             self._learn(new)
-        flat, lens = np.array(self.flat, np.int32), np.array(self.lens, np.int64)
-        begin = np.cumsum(lens) - lens
+        # views, not copies; they are gone before the arrays grow again
+        flat, begin, lens = (np.frombuffer(x, t) for x, t in ((self.flat, np.int32), (self.begin, np.int64), (self.lens, np.int64)))
         get, words = self.known.__getitem__, self.texts.__getitem__
         places = [[*map(get, s)] for s in split]
         decoded = [" ".join(filter(None, map(words, own))) for own in places]
