@@ -136,9 +136,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
     b is the hub: its text is sent once for every SALT_ROWS of its members, and a task holds one hub and one member.
     """
     hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    members = pairs.join(hubs, "b").join(docs, F.col("a") == F.col("doc_id"))
+    # hash joins, so that texts are sorted once only, by hub
+    members = docs.join(pairs.join(hubs, "b").hint("shuffle_hash"), F.col("a") == F.col("doc_id"))
     members = members.select(F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.col("a").alias("member"), "text")
-    own = hubs.join(docs, F.col("b") == F.col("doc_id")).select(F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "text")
+    own = docs.join(hubs.hint("shuffle_hash"), F.col("b") == F.col("doc_id")).select(F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "text")
     rows = own.union(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first())
     return rows.select("hub", "member", "text").mapInArrow(_confirm(k, num, den), "a long, b long")
 
@@ -278,7 +279,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
     # buckets with more than one node; most have one
     names = [f"hub{i}" for i in range(len(HUBS))]
     hubs = placed.groupBy("key").agg(F.max("rep").alias("high"), *[F.min(F.col("rep").bitwiseXOR(m)).alias(h) for h, m in zip(names, HUBS, strict=True)])
-    live = written(placed.join(hubs.where("hub0 < high").drop("high"), "key"), "buckets")
+    # a hash join: the keys, of which there are 66 a node, need not be sorted to meet the few that are shared
+    live = written(placed.join(hubs.where("hub0 < high").drop("high").hint("shuffle_hash"), "key"), "buckets")
     near = written(live.groupBy("rep").agg(*[F.min(h).bitwiseXOR(m).alias(h) for h, m in zip(names, HUBS, strict=True)]), "hubs")
     texts = written(_of(docs, near.select(F.col("rep").alias("doc_id"))), "texts")
     pairs = near.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array(*names))).alias("b")).where("a <> b")
