@@ -15,13 +15,21 @@ _made: set[str] = set()
 BATCH_ROWS = 1000
 
 
+#: Environment of Python workers, where it says nothing else: what they free goes back to the system, as a worker waits
+#: beside the executor's heap for its next task, which may be long in coming.
+WORKERS = {"MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def with_package(spark: SparkSession) -> SparkSession:
-    """Python workers find this package where the driver has it (elsewhere, ship it by spark.submit.pyFiles), and get
-    texts in batches of a few megabytes, unless the session says how many rows they get."""
+    """Python workers find this package where the driver has it (elsewhere, ship it by spark.submit.pyFiles), give freed
+    memory back, and get texts in batches of a few megabytes, unless the session says how many rows they get."""
     root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    for name, value in WORKERS.items():
+        if name not in env:
+            env[name] = value
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
