@@ -225,7 +225,6 @@ def _encode(shared):
                 yield out(rows)
         finally:
             bpe.forget()  # the worker goes on to other tasks, and perhaps to none that needs its memory
-            pa.default_memory_pool().release_unused()
 
     return run
 

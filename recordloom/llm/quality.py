@@ -8,7 +8,6 @@ document, so that they do not make boilerplate of each other's lines.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -137,9 +136,9 @@ def kept_documents(docs: DataFrame, **how) -> DataFrame:
     few = (cut.agg(F.sum(F.size("__gone"))).first()[0] or 0) <= BROADCAST_LINES
     left = left.join(F.broadcast(cut) if few else cut, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on], "left")
 
-    @F.pandas_udf("string")
-    def stripped(text: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([None if g is None else without_lines(t.encode(), set(g.tolist())).decode() for t, g in zip(text, gone, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def stripped(text: pa.Array, gone: pa.Array) -> pa.Array:
+        return pa.array([None if g is None else without_lines(t.as_py(), set(g)).decode() for t, g in zip(text.cast(pa.binary()), gone.to_pylist(), strict=True)], pa.string())
 
     left = left.withColumn("__left", stripped(F.when(F.col("__gone").isNotNull(), F.col("text").cast("string")), F.col("__gone")))
     new = {"text": F.coalesce("__left", "text")}
