@@ -300,7 +300,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
     large = live.where(F.col("c") > SMALL).select("key", "rep", "root", "low")
     if not large.isEmpty():
         found = found.union(family_links(large, nodes.select("rep", "n"), texts, shingle, num, den))
-    roots = components(links.union(found), "stars")
+    # written, so that no task has two Python workers at once
+    roots = components(links.union(written(found, "links")), "stars")
     members = nodes.select("s1", "s2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", "n", "s1", "s2").join(members, ["s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
