@@ -302,6 +302,31 @@ def test_filters_grow_with_the_ngrams(spark):
     assert (np.frombuffer(answer.column(3)[0].as_py(), np.uint8) >= 1).all()
 
 
+def test_score_is_the_smoothed_pair_model(spark):
+    """Against the model on exact counts, quantised as the filter's scale does, but for a filter's few false positives."""
+    r = np.random.RandomState(6)
+    docs = [(i, " ".join(f"w{min(int(x), 3000)}" for x in r.zipf(1.3, 150))) for i in range(400)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    tokens = {i: [None, *t.split(), ""] for i, t in docs}  # None is the start, "" the end
+    train = [own for i, own in tokens.items() if not held(i)]
+    one, two = collections.Counter(t for own in train for t in own[1:]), collections.Counter(p for own in train for p in zip(own, own[1:], strict=False))
+    total = sum(one.values()) + 0.1 * (len(one) + 1)
+    q = lambda c: float(lm_score.VALUE[np.searchsorted(lm_score.SCALE, c, side="right")])
+
+    def score(own):
+        out = 0.0
+        for a, b in zip(own, own[1:], strict=False):
+            before = len(train) if a is None else q(one[a])
+            out += math.log10((min(q(two[a, b]), before) + 100 * (q(one[b]) + 0.1) / total) / (before + 100))
+        return out
+
+    got = {x["doc_id"]: x["score"] for x in lm_score.lm_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    off = [abs(got[i] / score(own) - 1) for i, own in tokens.items()]
+    assert np.mean(off) < 0.01 and np.quantile(off, 0.95) < 0.02
+    # what a document has in training makes it likelier than the same words in another order
+    assert all(got[i] < 0 for i in got)
+
+
 def test_held_out_words_are_likelier_with_the_model(spark):
     rows = [(i, " ".join(f"a{(i + j) % 17} b{(i + j) % 17}" for j in range(30))) for i in range(200)]
     got = lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
