@@ -23,6 +23,11 @@ def unique_date_match(records: DataFrame, videos: DataFrame, on: list[str]) -> D
     return rows.withColumn("status", F.when(one, "matched").otherwise("review_required")).withColumn("match_confidence", F.when(one, 1.0).otherwise(0.0)).withColumn("video_id", F.when(one, F.element_at("candidate_video_ids", 1)))
 
 
+def summary(matches: DataFrame) -> DataFrame:
+    """How many records there are, matched ones and others."""
+    return matches.agg(F.count("*").alias("records"), F.count_if(F.col("status") == "matched").alias("matched"), F.count_if(F.col("status") != "matched").alias("review_required"))
+
+
 def manifest_upsert(manifest: DataFrame, matches: DataFrame) -> DataFrame:
     """manifest (session_id, session_date, journal_number, source_url, current_revision, status, youtube_video_id) with
     new and refreshed sessions of matches (session_id, session_date, journal_number, source_url, status, video_id).

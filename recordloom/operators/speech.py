@@ -82,6 +82,43 @@ def quarantined(found: Column) -> Column:
     return F.arrays_overlap(found, F.array(F.lit("repeated_phrase_loop"), F.lit("low_lexical_diversity")))
 
 
+def retry_rollup(judged: DataFrame, keys: list[str], seconds: Column) -> DataFrame:
+    """Of windows with findings f: how many there are, are retried, and stay out, and for how long."""
+    out = quarantined(F.col("f"))
+    return judged.groupBy(*keys).agg(F.count("*").alias("windows"), F.count_if(F.size("f") > 0).alias("retried"), F.count_if(out).alias("quarantined"), F.sum(F.when(out, seconds).otherwise(0.0)).alias("quarantined_seconds"))
+
+
+def _judged(segments: DataFrame, plans: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """plans with f, the findings of their segments."""
+    on = [*keys, "number"]
+    return plans.join(transcript_quality(segments, on, order), on, "left").withColumn("f", findings(F.col("core_end") - F.col("core_start"))).select(*plans.columns, "f")
+
+
+def retry_windows(first: DataFrame, plans: DataFrame, keys: list[str], order: list[str], seconds: float = 30.0, overlap: float = 2.0) -> DataFrame:
+    """The smaller windows by which windows of plans (keys, number, core_start, core_end) with findings are run again.
+
+    first has the segments that the windows own, with their number; the rows returned have window, that number."""
+    bad = _judged(first, plans, keys, order).where(F.size("f") > 0)
+    return plan_windows(bad.select(*keys, F.col("number").alias("window"), F.col("core_start").alias("from"), F.col("core_end").alias("to")), seconds, overlap)
+
+
+def retried(first: DataFrame, second: DataFrame, plans: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The segments of a first run and, for windows with findings, of a second by smaller ones; and (keys, number,
+    findings, quarantined, fallback_findings) of the windows that were run again.
+
+    Both have the number of the window of plans. Repetition is dropped from the second run's segments; windows that
+    still loop or lack words stay out: a gap is better than what nobody said."""
+    on = [*keys, "number"]
+    judged = _judged(first, plans, keys, order)
+    bad = judged.where(F.size("f") > 0)
+    again = drop_repetition(second.join(bad.select(*on), on, "left_semi"), on, order)
+    left = _judged(again, bad.drop("f"), keys, order)
+    residual = F.array_intersect("f", F.array(F.lit("repeated_phrase_loop"), F.lit("low_lexical_diversity")))
+    report = bad.select(*on, F.col("f").alias("findings")).join(left.select(*on, quarantined(F.col("f")).alias("quarantined"), residual.alias("fallback_findings")), on)
+    kept = first.join(judged.where(F.size("f") == 0).select(*on), on, "left_semi")
+    return kept.unionByName(again.join(report.where(~F.col("quarantined")).select(*on), on, "left_semi")), report
+
+
 def quality_gate(quality: DataFrame) -> DataFrame:
     """quality, failing where a phrase is repeated for 45 seconds or more."""
     bad = F.col("max_repeated_phrase_seconds") >= RUN_SECONDS

@@ -173,3 +173,10 @@ def markdown(blocks: DataFrame, head: str = "") -> DataFrame:
     parts = blocks.select("doc_id", F.struct("sequence", text.alias("t")).alias("part"))
     whole = F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda s: s["t"]), "\n\n"))
     return parts.groupBy("doc_id").agg(F.concat(F.regexp_replace(whole, r"\s+$", ""), F.lit("\n")).alias("markdown"))
+
+
+def characteristics(pages: DataFrame) -> DataFrame:
+    """Of each document of pages (doc_id, chars, images): pages, images, characters, and whether it looks like scanned
+    pages behind recognised text: four fifths of its pages have an image, and there is text."""
+    out = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum("images").alias("images"), F.count_if(F.col("images") > 0).alias("pages_with_images"), F.sum("chars").alias("chars"))
+    return out.withColumn("image_based", (F.col("pages_with_images") / F.col("pages") >= 0.8) & (F.col("chars") > 0))

@@ -38,7 +38,7 @@ def unique_date_match(spark, sf_dir):
 
 
 def discovery_summary(spark, sf_dir):
-    return _matches(spark, sf_dir).agg(F.count("*").alias("records"), F.count_if(F.col("status") == "matched").alias("matched"), F.count_if(F.col("status") != "matched").alias("review_required"))
+    return D.summary(_matches(spark, sf_dir))
 
 
 def _manifest(spark, sf_dir):

@@ -65,7 +65,7 @@ def quarantine(spark, sf_dir):
 
 def retry_rollup(spark, sf_dir):
     found = _quality(spark, sf_dir).withColumn("f", speech.findings(F.lit(5 * DAY)))
-    return found.groupBy("user_id").agg(F.count("*").alias("windows"), F.count_if(F.size("f") > 0).alias("retried"), F.count_if(speech.quarantined(F.col("f"))).alias("quarantined"), (F.count_if(speech.quarantined(F.col("f"))) * F.lit(5 * DAY)).alias("quarantined_seconds"))
+    return speech.retry_rollup(found, ["user_id"], F.lit(5 * DAY))
 
 
 def _ranges(spark, sf_dir):

@@ -169,8 +169,7 @@ def parse_document(spark, sf_dir):
 def document_characteristics(spark, sf_dir):
     """Of each document: pages, characters, and whether most pages have an image, where one in three lines stands for one."""
     pages = _raw(spark, sf_dir).groupBy("doc_id", "page").agg(F.sum(F.length("raw_text")).alias("chars"), F.count_if(F.col("seq") % 7 == 0).alias("images"))
-    out = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum("images").alias("images"), F.count_if(F.col("images") > 0).alias("pages_with_images"), F.sum("chars").alias("chars"))
-    return out.withColumn("image_based", (F.col("pages_with_images") / F.col("pages") >= 0.8) & (F.col("chars") > 0))
+    return S.characteristics(pages)
 
 
 QUERIES = {f.__name__: f for f in (normalize_asr, normalize_journal, normalize_both, line_join, slugify, speaker_split, heading_filter, page_roles, classify_blocks, section_fill, section_ids, block_ids, time_references, continuations, page_nest, section_outline, markdown_render, artifact_split, fragment_merge, parse_document, document_characteristics)}

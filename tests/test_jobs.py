@@ -12,6 +12,7 @@ from recordloom.functions.text import normalize_asr
 from recordloom.operators import evaluation as E
 from recordloom.operators import jobs as J
 from recordloom.operators import publishing as P
+from recordloom.operators import speech as SP
 from recordloom.operators import structure as ST
 from recordloom.plans import alignment, structure
 from recordloom.sources import records as S
@@ -65,6 +66,24 @@ def test_sessions_that_discovery_does_not_know(spark):
         fails(asked(absent), f"absent from discovery outputs: {absent}")
 
 
+def test_windows_are_run_again(spark):
+    """A clean window stays, a looping one is replaced by its second run, and stays out if that loops too."""
+    said = lambda n, start, texts, step=10.0: [("s", n, start + i * step, start + (i + 1) * step, t) for i, t in enumerate(texts)]
+    clean, loop, fixed = [f"word{i} and{i}" for i in range(12)], ["same again"] * 12, [f"other{i} now{i}" for i in range(10)]
+    schema = "session string, number int, start double, end double, normalized_text string"
+    first = spark.createDataFrame(said(1, 0.0, clean) + said(2, 120.0, loop) + said(3, 240.0, loop), schema)
+    second = spark.createDataFrame(said(1, 0.0, loop) + said(2, 120.0, fixed) + said(3, 240.0, ["no", "no"], 55.0), schema)
+    plans = spark.createDataFrame([("s", n, (n - 1) * 120.0, n * 120.0) for n in (1, 2, 3, 4)], "session string, number int, core_start double, core_end double")
+    again = SP.retry_windows(first, plans, ["session"], ["start"])
+    assert Counter(r["window"] for r in again.collect()) == {2: 4, 3: 4, 4: 4}
+    assert [(r["input_start"], r["input_end"]) for r in again.where("window = 2").orderBy("number").collect()] == [(120.0, 152.0), (148.0, 182.0), (178.0, 212.0), (208.0, 240.0)]
+    kept, report = SP.retried(first, second, plans, ["session"], ["start"])
+    assert Counter((r["number"], r["normalized_text"]) for r in kept.collect()) == Counter([(1, t) for t in clean] + [(2, t) for t in fixed])
+    got = {r["number"]: (r["findings"], r["quarantined"], r["fallback_findings"]) for r in report.collect()}
+    assert set(got) == {2, 3, 4} and "repeated_phrase_loop" in got[2][0] and got[4] == (["empty_output"], False, [])
+    assert not got[2][1] and got[3][1] and got[3][2] == ["low_lexical_diversity"]
+
+
 def test_finalised_sessions(spark):
     entries = [r for r in alignment.align(spark, SF).collect() if not r["conflict"]]
     timed, queue = Counter(r["session"] for r in entries), Counter(r["session"] for r in entries if r["review_state"] == "needs_review")
