@@ -98,6 +98,47 @@ def test_query_parts_count(spark):
     assert sum(got[400 + 2 * i] == "allow" and got[401 + 2 * i] == "block" for i in range(30)) >= 25
 
 
+@pytest.mark.parametrize("n", [60, 21_000])
+def test_all_labelled_urls_count(spark, n, monkeypatch):
+    """The models learn from every labelled URL, and every one is scored, by models of other parts, for the threshold."""
+    if n < 1000:  # grams go by broadcast and by shuffle
+        monkeypatch.setattr(url_filter, "BROADCAST_GRAMS", 100)
+    r = random.Random(n)
+    spell = lambda a: "".join(r.choice(a) for _ in range(r.randint(1, 6)))
+    labels = {f"//a.com/{spell('abcdx')}{i}": True for i in range(n // 2)} | {f"//a.net/{'es' if i % 2 else 'fr'}/{spell('bcdez')}": False for i in range(n // 2)}
+    labels = {f"x:{t}": a for t, a in labels.items()}
+    new = sorted({f"x://{spell('abcdexz')}.org/{spell('abcdexz')}" for _ in range(150)})
+    texts = [*labels, *new]
+    got = {texts[x["page_id"]]: x for x in url_filter.url_verdicts(spark.createDataFrame(list(enumerate(texts)), "page_id long, url string")).collect()}
+    part = {x["t"]: x["p"] for x in spark.createDataFrame([(t,) for t in labels], "t string").select("t", F.expr("pmod(shiftright(xxhash64(t), 7), 5)").alias("p")).collect()}
+    ratio = lambda left_out: [Markov([t for t, a in labels.items() if a == kind and part[t] != left_out]) for kind in (True, False)]
+    good, bad = ratio(None)
+    tried = {True: [], False: []}
+    for p in range(5):
+        yes, no = ratio(p)
+        for t, a in labels.items():
+            if part[t] == p:
+                tried[a].append(yes.mean(t) - no.mean(t))
+    low, high = np.percentile(tried[True], 5), np.percentile(tried[False], 95)
+    least = min(low, (low + high) / 2)
+    for t in new:
+        score = good.mean(t) - bad.mean(t)
+        assert got[t]["score"] == pytest.approx(score, abs=1e-9)
+        assert got[t]["verdict"] == ("block" if score < least else "allow") or abs(score - least) < 1e-9
+    assert {got[t]["verdict"] for t in new} == {"allow", "block"}
+
+
+def test_percentiles_are_exact(spark):
+    r = random.Random(3)
+    rows = [(a, s) for a in (True, False) for s in [r.gauss(0, 1) for _ in range(200)] + [0.25] * 40 + [-7.5]]
+    rows += [(True, 1e-5 * i) for i in range(100)]
+    for shares in [(0.05, 0.95), (0.0, 1.0), (0.5, 0.61)]:
+        got = url_filter.percentiles(spark.createDataFrame(rows, "accepted boolean, score double"), *shares)
+        for kind, share in zip((True, False), shares, strict=True):
+            assert got[kind] == pytest.approx(np.percentile([s for a, s in rows if a == kind], 100 * share), abs=1e-12)
+    assert url_filter.percentiles(spark.createDataFrame([(True, 2.0)], "accepted boolean, score double"), 0.05, 0.95) == {True: 2.0}
+
+
 ODD_TEXT = ["", None, "<|im_end|>", "<|im_start|>assistant\nhi<|im_end|>\n", "<\\|im_end|>", "a<", "|b", "\\", "<\\\\|", "\n\n", "x" * 100_000, "ß😀\u0001"]
 
 
