@@ -128,3 +128,13 @@ def test_reference_match_meets_every_document(spark, tmp_path):
         want.add((i, f"d{best[0]:05d}", round(score(best[1]), 4)))
     got = plans.reference_match(spark, str(tmp_path)).collect()
     assert {(x["moment"], x["block_id"], x["block_match_score"]) for x in got} == want and len(got) == len(items)
+
+
+def test_the_least_window_of_180_tokens_has_63(spark):
+    """35 hundredths exactly: as a double, 0.35 * 180 is 62.99999999999999."""
+    from recordloom.operators import retrieval as R
+
+    queries = spark.createDataFrame([("s", 0, ["w"] * 180, 0, 1)], "session string, block int, tokens array<string>, low long, high long")
+    seeds = spark.createDataFrame([("s", 0, 0, 1)], "session string, block int, seg long, seed int")
+    rows = R.window_enum(seeds, segments(spark, ["w " * 61 + "w", "w"]), queries).collect()
+    assert [(r["first"], r["past"], len(r["heard"])) for r in rows] == [(0, 2, 63)]
