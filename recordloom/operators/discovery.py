@@ -13,11 +13,12 @@ OPEN_STATES = ["discovered", "review_required"]
 LATER_STATES = ["pdf_parsed", "aligned", "published", "prototype_ready_review_pending"]
 
 
-def unique_date_match(records: DataFrame, videos: DataFrame, on: list[str]) -> DataFrame:
-    """records with the one video of their date; more or none need review, all their candidates listed.
+def unique_date_match(records: DataFrame, videos: DataFrame, on: list[str], order: str = "video_id") -> DataFrame:
+    """records with the one video of their date; more or none need review, all their candidates listed in their order.
 
     A reviewer chooses among all candidates of a date, so all are listed: as many as the playlist has for it."""
-    found = videos.groupBy(*on).agg(F.array_sort(F.collect_list("video_id")).alias("candidate_video_ids"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("video_id").alias("v"))))
+    found = videos.groupBy(*on).agg(F.transform(listed, lambda x: x["v"]).alias("candidate_video_ids"))
     rows = records.join(found, on, "left").withColumn("candidate_video_ids", F.coalesce("candidate_video_ids", F.array().cast("array<string>")))
     one = F.size("candidate_video_ids") == 1
     return rows.withColumn("status", F.when(one, "matched").otherwise("review_required")).withColumn("match_confidence", F.when(one, 1.0).otherwise(0.0)).withColumn("video_id", F.when(one, F.element_at("candidate_video_ids", 1)))

@@ -20,7 +20,7 @@ def _journals(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("session_date", F.col("ts").cast("date"))
     days = e.where("event_type = 'click'").groupBy("user_id", "session_date").agg(F.min("event_id").alias("n"))
     days = days.select("user_id", "session_date", F.format_string("s-%d", "n").alias("session_id"), F.col("n").alias("journal_number"), F.format_string("https://host.example/%d.pdf", "n").alias("source_url"))
-    return days, e.where("event_type = 'purchase'").select("user_id", "session_date", F.format_string("v%05d", "event_id").alias("video_id"))
+    return days, e.where("event_type = 'purchase'").select("user_id", "session_date", "event_id", F.format_string("v%05d", "event_id").alias("video_id"))
 
 
 JOURNALS_SQL = """e AS (SELECT *, CAST(ts AS DATE) AS session_date FROM events), days AS (SELECT user_id, session_date, min(event_id) AS n FROM e WHERE event_type = 'click' GROUP BY 1, 2),
@@ -30,7 +30,7 @@ matches AS (SELECT d.user_id, d.session_date, 's-' || n AS session_id, n AS jour
 
 
 def _matches(spark, sf_dir):
-    return D.unique_date_match(*_journals(spark, sf_dir), ["user_id", "session_date"])
+    return D.unique_date_match(*_journals(spark, sf_dir), ["user_id", "session_date"], order="event_id")
 
 
 def unique_date_match(spark, sf_dir):

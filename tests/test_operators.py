@@ -148,3 +148,12 @@ def test_documents_are_checked(spark, tmp_path):
     (tmp_path / "b.pdf").write_bytes(b"<html>")
     with pytest.raises(Exception, match="no PDF"):
         records.read_documents(spark, str(tmp_path)).collect()
+
+
+def test_candidates_are_in_the_order_of_their_events(spark, tmp_path):
+    """Ids of six digits come after those of five, though v100000 is less than v99999."""
+    from recordloom.plans import catalog
+
+    rows = [(99998, "click"), (99999, "purchase"), (100000, "purchase")]
+    spark.createDataFrame([(i, 1, t) for i, t in rows], "event_id long, user_id long, event_type string").withColumn("ts", F.lit("2024-01-01 01:00:00").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    assert catalog.QUERIES["unique_date_match"](spark, str(tmp_path)).first()["candidates"] == "v99999,v100000"
