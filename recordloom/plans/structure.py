@@ -77,7 +77,8 @@ def normalize_journal(spark, sf_dir):
 
 def normalize_both(spark, sf_dir):
     """The record's form once more in the form of speech: hyphens become spaces."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_asr(T.normalize_record(F.col("text"))), 256).alias("hash"))
+    d = table(spark, sf_dir, "documents").select("doc_id", T.normalize_record(F.col("text")).alias("text"))
+    return d.select("doc_id", F.sha2(T.normalize_asr(F.col("text")), 256).alias("hash"))
 
 
 def line_join(spark, sf_dir):

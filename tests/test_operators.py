@@ -157,3 +157,33 @@ def test_candidates_are_in_the_order_of_their_events(spark, tmp_path):
     rows = [(99998, "click"), (99999, "purchase"), (100000, "purchase")]
     spark.createDataFrame([(i, 1, t) for i, t in rows], "event_id long, user_id long, event_type string").withColumn("ts", F.lit("2024-01-01 01:00:00").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
     assert catalog.QUERIES["unique_date_match"](spark, str(tmp_path)).first()["candidates"] == "v99999,v100000"
+
+
+def test_folding_is_that_of_python_for_every_character(spark):
+    """Plain characters are folded by Spark, alone and beside a combining mark, an unusual one or at a word's end; others by Python."""
+    import re
+    import unicodedata
+
+    texts = [t for c in range(0x20, 0x3100) for t in (chr(c), f"Aa{chr(c)}", f"{chr(c)}\u0301b", f"\ufb01 {chr(c)}")]
+    folded = [unicodedata.normalize("NFKC", t).casefold() for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    x = F.col("x")
+    for found, want in ((T.nfkc(x), [unicodedata.normalize("NFKC", t) for t in texts]), (T.casefold(x), [t.casefold() for t in texts]), (T.casefold(T.nfkc(x)), folded)):
+        assert [r[1] for r in df.select("i", found).orderBy("i").collect()] == want
+    found = df.select("i", T.normalize_asr(x)).orderBy("i").collect()
+    ascii_only = [i for i, t in enumerate(folded) if t.isascii()]
+    assert len(ascii_only) > 1000 and all(found[i][1] == re.sub("[^a-z0-9_]+", " ", folded[i]).strip(" ") for i in ascii_only)
+
+
+def test_ordinary_text_is_not_sent_to_python(spark):
+    """What Python gets grows with the unusual texts, not with the table."""
+    sent = []
+    known = T._python_text
+    T._python_text = lambda name: lambda x: sent.append(x) or known(name)(x)
+    try:
+        df = spark.createDataFrame([("Çà É über-\n straße",), ("ﬁn",), (None,)], "x string")
+        df.select(T.normalize_asr(F.col("x")), T.normalize_record(F.col("x"))).collect()
+        assert [r[0] for r in df.select(sent[0]).collect()] == [None, "ﬁn", None]
+    finally:
+        T._python_text = known
+    assert [tuple(r) for r in df.select(T.normalize_asr(F.col("x")), T.normalize_record(F.col("x"))).collect()] == [("çà é über strasse", "çà é über-strasse"), ("fin", "fin"), (None, None)]
