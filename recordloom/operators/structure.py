@@ -2,19 +2,18 @@
 
 Rows are (doc_id, page, seq, text, ...). A document is a window partition; pages are, where a rule ends with the page.
 Window functions do all but the merging of fragments, whose test is on the text merged so far: it is a fold, which
-runs in Arrow batches on one page at a time.
+runs on one page at a time, in Arrow batches of many.
 """
 
 from __future__ import annotations
 
 import re
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import with_package
+from ..session import in_groups
 
 
 def _doc(*order: str):
@@ -71,9 +70,9 @@ def _merges(one: dict, two: dict) -> bool:
     return a[-1] not in T.CLOSERS or b[:1].islower() or b[:1] in ("‘", "’", "“", '"')
 
 
-def _fold(batch: pa.Table) -> pa.Table:
+def _fold(page: list[dict]) -> list[dict]:
     out: list[dict] = []
-    for row in sorted(batch.to_pylist(), key=lambda r: (r["seq"], r["part"])):
+    for row in sorted(page, key=lambda r: (r["seq"], r["part"])):
         row |= {"merged": 1, "indexes": [row["seq"]]}
         if out and _merges(out[-1], row):
             last = out[-1]
@@ -85,16 +84,15 @@ def _fold(batch: pa.Table) -> pa.Table:
                 last["bbox"] = [pick(x, y) for pick, x, y in zip((min, min, max, max), last["bbox"], row["bbox"], strict=True)]
         else:
             out.append(row)
-    return pa.Table.from_pylist(out, schema=batch.schema.append(pa.field("merged", pa.int64())).append(pa.field("indexes", pa.list_(pa.int64()))))
+    return out
 
 
 def merge_fragments(fragments: DataFrame) -> DataFrame:
     """fragments of split_artifacts, those that continue the one before on their page merged into it: merged counts them,
     indexes are their blocks' seq, and bbox is around all of them."""
-    with_package(fragments.sparkSession)
     schema = "doc_id long, page long, seq long, part int, raw_text string, source_text string, bbox array<double>, role string, merged long, indexes array<long>"
     rows = fragments.select("doc_id", "page", "seq", "part", "raw_text", "source_text", "bbox", "role")
-    return rows.groupBy("doc_id", "page").applyInArrow(_fold, schema)
+    return in_groups(rows, ["doc_id", "page"], _fold, schema)
 
 
 def block_ids(rows: DataFrame, number: Column) -> DataFrame:

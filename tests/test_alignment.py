@@ -1,6 +1,7 @@
 """The aligner on small sessions, its path against all paths, and its similarity against plain definitions."""
 
 import random
+import re
 from difflib import SequenceMatcher
 from itertools import product
 
@@ -138,3 +139,25 @@ def test_the_least_window_of_180_tokens_has_63(spark):
     seeds = spark.createDataFrame([("s", 0, 0, 1)], "session string, block int, seg long, seed int")
     rows = R.window_enum(seeds, segments(spark, ["w " * 61 + "w", "w"]), queries).collect()
     assert [(r["first"], r["past"], len(r["heard"])) for r in rows] == [(0, 2, 63)]
+
+
+@pytest.mark.parametrize("name", ["soft_coverage", "align_score", "nms", "monotone_path"])
+def test_the_driver_has_no_plan_of_all_steps_and_no_texts(spark, name):
+    """Steps that others read are written, and of what is broadcast nothing has texts or postings, however small their files."""
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 0 and plan.count("Scan parquet") <= 10
+    below = [plan[m.start() : m.start() + 4000] for m in re.finditer("BroadcastExchange", plan)]
+    assert not any("explode" in x.split("Exchange")[1] or "normalized_text" in x.split("Exchange")[1] for x in below)
+
+
+def test_windows_reach_from_one_piece_of_speech_into_the_next(spark):
+    """A turn at the edge of a piece, in a session of more than two pieces, is found where it was said."""
+    from recordloom.operators import retrieval as R
+
+    r = random.Random(7)
+    said = ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(8 * 3 * R.PIECE)]
+    texts = [" ".join(said[i : i + 8]) for i in range(0, len(said), 8)]
+    at = [R.PIECE - 2, 2 * R.PIECE - 1]
+    turns = [(f"b{i}", "speaker_utterance", " ".join(texts[i : i + 4])) for i in at]
+    found = A.align(blocks(spark, turns), segments(spark, texts)).collect()
+    assert {(e["block_id"], e["start"], e["end"]) for e in found} == {(f"b{i}", i * 10.0, (i + 3) * 10.0 + 8) for i in at}
