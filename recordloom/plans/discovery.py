@@ -9,6 +9,7 @@ from ..operators import discovery as D
 from ..operators import jobs as J
 from ..operators import publishing as P
 from ..operators import speech as SP
+from ..session import written
 from ..sources import records as S
 from ..sources import speech as W
 from .bindings import DAY, SEG_SQL, segments, table
@@ -172,17 +173,19 @@ def _published(spark, sf_dir):
     return typed(spark, sf_dir).select(F.col("doc_id").cast("string").alias("session"), (F.col("sequence") - 1).alias("pos"), "page", F.col("id").alias("block_id"), "kind", F.col("body").alias("text"), F.col("speaker_raw").alias("speaker"), "section_id", "section_title")
 
 
-def _entries(spark, sf_dir):
-    b = _published(spark, sf_dir).where("pos % 3 = 0")
-    return b.select("session", "block_id", (F.col("pos") * 2.0).alias("start"), (F.col("pos") * 2.0 + 1).alias("end"), F.lit("approximate_dialogue_turn").alias("precision"), F.round((F.col("pos") % 10) / 10, 3).alias("confidence"), F.when(F.col("pos") % 2 == 0, "needs_review").otherwise("manual_reviewed").alias("review_state"), (F.col("pos") % 15 == 0).alias("conflict"))
+def _publication(spark, sf_dir):
+    """Blocks, written once for their entries and themselves, and entries of every third."""
+    blocks = written(_published(spark, sf_dir), "published")
+    b = blocks.where("pos % 3 = 0")
+    return blocks, b.select("session", "block_id", (F.col("pos") * 2.0).alias("start"), (F.col("pos") * 2.0 + 1).alias("end"), F.lit("approximate_dialogue_turn").alias("precision"), F.round((F.col("pos") % 10) / 10, 3).alias("confidence"), F.when(F.col("pos") % 2 == 0, "needs_review").otherwise("manual_reviewed").alias("review_state"), (F.col("pos") % 15 == 0).alias("conflict"))
 
 
 def alignment_summary(spark, sf_dir):
-    return P.alignment_summary(_published(spark, sf_dir), _entries(spark, sf_dir))
+    return P.alignment_summary(*_publication(spark, sf_dir))
 
 
 def public_payload(spark, sf_dir):
-    doc = P.public_payload(_published(spark, sf_dir), _entries(spark, sf_dir))
+    doc = P.public_payload(*_publication(spark, sf_dir))
     blocks = F.flatten(F.transform("pages", lambda p: p["blocks"]))
     return doc.select("session", F.size("pages").cast("long").alias("pages"), F.size(blocks).cast("long").alias("blocks"), F.size(F.filter(blocks, lambda b: b["timing"].isNotNull())).cast("long").alias("timed"), F.coalesce(F.array_join(F.transform("outline", lambda s: F.concat(s["id"], F.lit("@"), s["first_block_id"])), ","), F.lit("")).alias("outline"))
 

@@ -169,3 +169,22 @@ def test_forward_only(spark, tmp_path):
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     O.forward_only(stream, "1 day").writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
     assert sorted(r["session_id"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_blocks_are_typed_once_for_their_entries_and_themselves(spark):
+    """Publication reads blocks that are written, not their lines' whole way from the documents twice over."""
+    from recordloom.plans import catalog
+
+    for name in ("public_payload", "alignment_summary"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "documents.parquet" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_groups_that_share_batches_are_folded_apart(spark):
+    """Groups in one batch, and one that goes on from a batch into the next, each once and whole."""
+    from recordloom.session import in_groups
+
+    df = spark.range(5000).selectExpr("nullif(id % 7, 3) as k", "cast(id % 2 as int) as j", "id")
+    rows = in_groups(df.where("k is null or k < 6 or id < 50"), ["k", "j"], lambda g: [{"k": g[0]["k"], "j": g[0]["j"], "n": len(g), "s": sum(r["id"] for r in g)}], "k long, j int, n long, s long").collect()
+    want = df.where("k is null or k < 6 or id < 50").groupBy("k", "j").agg(F.count("*"), F.sum("id")).collect()
+    assert len(rows) == 14 and {tuple(r) for r in rows} == {tuple(r) for r in want}
